@@ -57,7 +57,7 @@ def occurrences(text: Column, x: Column) -> Column:
 
 def line_of(text: Column, x: Column) -> Column:
     """Number of the line in which x first occurs."""
-    head = F.substring_index(text, x, 1)
+    head = F.call_function("substring_index", text, x, F.lit(1))
     return (F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1).cast("int")
 
 

@@ -40,9 +40,12 @@ def matches(text: Column, config: Config) -> Column:
     """
     none = F.array().cast(MATCHES)
 
+    def of(p: Pattern, texts: Column) -> Column:
+        found = F.flatten(F.transform(texts, lambda t: hits(t, p)))
+        return F.transform(found, lambda x: F.struct(F.lit(p.category).alias("category"), x.alias("matched")))
+
     def scan(texts: Column) -> Column:
-        parts = [F.transform(F.flatten(F.transform(texts, lambda t, p=p: hits(t, p))), lambda x, p=p: F.struct(F.lit(p.category).alias("category"), x.alias("matched"))) for p in config.patterns]
-        every = F.array_distinct(F.concat(*parts)) if parts else none
+        every = F.array_distinct(F.concat(*[of(p, texts) for p in config.patterns])) if config.patterns else none
         if config.exclude:
             every = F.filter(every, lambda x: ~F.greatest(*[F.contains(F.lower(x.matched), F.lit(t)) for t in config.exclude], F.lit(False)))
         return longest_first(every)
