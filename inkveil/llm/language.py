@@ -119,6 +119,8 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     common = np.argsort(-seen, kind="stable")[: SYMBOLS - 2]
     table[common[seen[common] > 0]] = np.arange(1, 1 + (seen[common] > 0).sum())
     model = Model(langs, table, *([np.zeros(0, np.uint32)] for _ in range(4)))
+    if not langs:
+        return model
     by = {lang: [t for x, t in rows if x == lang] for lang in langs}
     held = [(lang, t) for lang in langs for t in by[lang][4::5]]
     raw: list[tuple[np.ndarray, np.ndarray]] = []
