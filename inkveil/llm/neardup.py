@@ -25,8 +25,9 @@ WIDTH, CHUNKS = 4, 14
 HASHES = WIDTH * CHUNKS
 #: Errors that leave a chunk with at most one: 2 * CHUNKS - 1. A pair of similarity 0.8 has more with probability 5e-7.
 MOST = 2 * CHUNKS - 1
-#: Members of a bucket that one block holds.
+#: Members of a bucket that one block holds at most, and their shingles where sets are compared.
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 18
 _RNG = np.random.default_rng(77)
 _MUL = (_RNG.integers(0, 2**31, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
 _ADD = _RNG.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -139,47 +140,116 @@ def _confirmed(pairs: DataFrame, signed_docs: DataFrame, texts: DataFrame, k: in
     return links
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a pair of blocks of one bucket: pairs of different components that are near by signature."""
+def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a pair of blocks of one bucket: members with a partner of another component that is near by signature.
+
+    A pair shares several buckets; only that of the first key counts it.
+    """
     for batch in batches:
-        a_out, b_out = [], []
-        cols = [batch.column(c).to_pylist() for c in ("left", "right")]
-        for left, right in zip(*cols, strict=True):
-            sides = []
-            for block in (left, right):
-                ids, comp = np.array([x["doc_id"] for x in block]), np.array([x["comp"] for x in block])
-                sides.append((ids, comp, np.frombuffer(b"".join(x["sig"] for x in block), np.uint16).reshape(-1, HASHES)))
-            (ia, ca, sa), (ib, cb, sb) = sides
+        keys, docs = [], []
+        for key, left, right in zip(*(batch.column(c).to_pylist() for c in ("key", "left", "right")), strict=True):
+            index = (key >> 56 & 0xFF) * WIDTH + (key >> 48 & 0xFF)
+            (ia, ca, sa), (ib, cb, sb) = (
+                (np.array([x["doc_id"] for x in block]), np.array([x["comp"] for x in block]), np.frombuffer(b"".join(x["load"] for x in block), np.uint16).reshape(-1, HASHES)) for block in (left, right)
+            )
+            hit_a, hit_b = np.zeros(len(ia), bool), np.zeros(len(ib), bool)
             for r in range(len(ia)):
-                hit = (ca[r] != cb) & ((sa[r] != sb).sum(axis=1) <= MOST)
-                for other in ib[hit]:
-                    lo, hi = sorted((int(ia[r]), int(other)))
-                    a_out.append(hi)
-                    b_out.append(lo)
-        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+                at = np.flatnonzero(cb != ca[r])
+                same = sb[at] == sa[r]
+                near = same.sum(axis=1) >= HASHES - MOST
+                at, same = at[near], same[near].reshape(-1, CHUNKS, WIDTH)
+                shared = same.sum(axis=2, keepdims=True) - same == WIDTH - 1
+                at = at[shared.reshape(-1, CHUNKS * WIDTH).argmax(axis=1) == index] if len(at) else at
+                hit_a[r] = len(at) > 0
+                hit_b[at] = True
+            some = np.unique(np.r_[ia[hit_a], ib[hit_b]])
+            keys += [key] * len(some)
+            docs += some.tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64())], ["key", "doc_id"])
+
+
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by matrix products over the values that both lists hold."""
+    va, vb = np.concatenate(a), np.concatenate(b)
+    values = np.intersect1d(va, vb)
+    out = np.zeros((len(a), len(b)), np.float32)
+    rows_a, rows_b = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    at_a, at_b = np.searchsorted(values, va), np.searchsorted(values, vb)
+    in_a, in_b = np.isin(va, values), np.isin(vb, values)
+    for lo in range(0, len(values), 4096):
+        sides = []
+        for at, inside, rows, n in ((at_a, in_a, rows_a, len(a)), (at_b, in_b, rows_b, len(b))):
+            use = inside & (at >= lo) & (at < lo + 4096)
+            m = np.zeros((n, min(4096, len(values) - lo)), np.float32)
+            m[rows[use], at[use] - lo] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _linked(k: int, percent: int):
+    """Of a pair of blocks of one bucket: links between different components, as many as connect them."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out_a, out_b = [], []
+            for left, right in zip(*(batch.column(c).to_pylist() for c in ("left", "right")), strict=True):
+                (ia, ca, sa), (ib, cb, sb) = (([x["doc_id"] for x in block], np.array([x["comp"] for x in block]), list(shingle_sets(pa.array([x["load"] for x in block]), k))) for block in (left, right))
+                both = _overlaps(sa, sb)
+                whole = np.array([len(x) for x in sa])[:, None] + np.array([len(x) for x in sb])[None, :] - both
+                root: dict[int, int] = {}
+
+                def find(x: int) -> int:
+                    while root.setdefault(x, x) != x:
+                        root[x] = root[root[x]]
+                        x = root[x]
+                    return x
+
+                for i, j in zip(*np.nonzero((both > 0) & (100 * both >= percent * whole) & (ca[:, None] != cb[None, :])), strict=True):
+                    x, y = find(int(ca[i])), find(int(cb[j]))
+                    if x != y:
+                        root[x] = y
+                        out_a.append(ia[i])
+                        out_b.append(ib[j])
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-def _rest(keys: DataFrame, comps: DataFrame, signed_docs: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket.
+    return work
 
-    Members of the pivot's component need no test among themselves, so a
-    bucket that is one component drops out. Others are cut into blocks and
-    compared block by block; only pairs near by signature leave a task.
+
+def _blocks(member: DataFrame, weight, most: int, load: str) -> DataFrame:
+    """Pairs of blocks of a bucket that cover all pairs of its members but those within the pivot's component.
+
+    member: key, doc_id, comp, home. A block holds rows up to a weight of ``most``.
     """
-    member = keys.join(comps, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    open_keys = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("doc_id", "comp")).alias("pivot")).where("lo <> hi").select("key", F.col("pivot.doc_id").alias("pivot"), F.col("pivot.comp").alias("home"))
-    member = member.join(open_keys, "key").where("doc_id <> pivot").join(signed_docs.select("doc_id", "sig"), "doc_id")
-    place = F.row_number().over(Window.partitionBy("key", "inside").orderBy("doc_id")) - 1
-    blocks = (
-        member.withColumn("inside", F.col("comp") == F.col("home"))
-        .withColumn("block", F.floor(place / BLOCK))
-        .groupBy("key", "inside", "block")
-        .agg(F.collect_list(F.struct("doc_id", "comp", "sig")).alias("rows"))
-    )
+    before = F.sum("weight").over(Window.partitionBy("key", "inside").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    rows = member.withColumn("inside", F.col("comp") == F.col("home")).withColumn("weight", weight)
+    blocks = rows.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / most)).groupBy("key", "inside", "block").agg(F.collect_list(F.struct("doc_id", "comp", F.col(load).alias("load"))).alias("rows"))
     left = blocks.where("not inside").select("key", F.col("block").alias("n"), F.col("rows").alias("left"))
-    right = blocks.select("key", F.col("inside"), "block", F.col("rows").alias("right"))
-    pairs = left.join(right, "key").where("inside or block >= n").select("left", "right")
-    return pairs.mapInArrow(_cross, "a long, b long").distinct()
+    right = blocks.select("key", "inside", "block", F.col("rows").alias("right"))
+    return left.join(right, "key").where("inside or block >= n").select("key", "left", "right")
+
+
+def _rest(keys: DataFrame, comps: DataFrame, signed_docs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links of different components that share a bucket and were not compared with its pivot.
+
+    A bucket whose other members are one component drops out. Members of the
+    pivot's component need no test among themselves. What leaves a task is
+    members and connecting links, never pairs.
+    """
+    member = keys.join(comps, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    home = member.groupBy("key").agg(F.min(F.when(F.col("doc_id") == F.col("pivot"), F.col("comp"))).alias("home"), F.min(F.when(F.col("doc_id") != F.col("pivot"), F.col("comp"))).alias("lo"), F.max(F.when(F.col("doc_id") != F.col("pivot"), F.col("comp"))).alias("hi")).where("lo <> hi").select("key", "home")
+    member = member.where("doc_id <> pivot").select("key", "doc_id", "comp").join(home, "key")
+    loaded = member.join(signed_docs.select("doc_id", "sig"), "doc_id")
+    some = _blocks(loaded, F.lit(1), BLOCK, "sig").mapInArrow(_partnered, "key long, doc_id long").distinct()
+    some = stash(some.join(member, ["key", "doc_id"]), "partnered")
+    wanted = some.select("doc_id").distinct()
+    texts = stash(texts.join(wanted, "doc_id", "left_semi"), "texts")
+    loaded = some.join(texts, "doc_id").join(signed_docs.select("doc_id", "n_shingles"), "doc_id")
+    weight = F.greatest(F.col("n_shingles"), F.lit(BLOCK_SHINGLES // BLOCK))
+    links = stash(_blocks(loaded, weight, BLOCK_SHINGLES, "text").select("left", "right").mapInArrow(_linked(k, percent), "a long, b long"), "links")
+    drop(some)
+    drop(texts)
+    return links
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -187,8 +257,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     Equal sets are one class, represented by its smallest doc_id, so copies
     are never paired. Within an index bucket every member is first compared
-    with the smallest only; members that end in one component need no more,
-    and what is left is compared in blocks. No bucket is cut or capped.
+    with one pivot only, the member that shares most buckets with others;
+    members that end in one component need no more, and what is left is
+    compared in blocks, on whole sets. No bucket is cut or capped.
 
     Returns doc_id, n_shingles, component_id, kept for each distinct doc_id.
     Null or wordless text: an empty set, linked with nothing. Null doc_id: not
@@ -201,18 +272,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     full = one.where("n_shingles > 0")
     reps = stash(full.groupBy("n_shingles", "f1", "f2").agg(F.min(F.struct("doc_id", "sig")).alias("x")).select("n_shingles", "f1", "f2", "x.*"), "reps")
     keys = reps.select("doc_id", "sig").mapInArrow(_index, "key long, doc_id long")
-    keys = stash(
-        keys.withColumn("pivot", F.first("doc_id").over(Window.partitionBy("key").orderBy("doc_id")))
-        .withColumn("next", F.lead("doc_id").over(Window.partitionBy("key").orderBy("doc_id")))
-        .where("pivot <> doc_id or next is not null")
-        .select("key", "doc_id", "pivot"),
-        "keys",
-    )
+    beside = Window.partitionBy("key").orderBy("doc_id")
+    keys = stash(keys.withColumn("other", F.coalesce(F.lag("doc_id").over(beside), F.lead("doc_id").over(beside))).where("other is not null").select("key", "doc_id"), "shared")
+    met = keys.join(keys.groupBy("key").count(), "key").groupBy("doc_id").agg(F.sum("count").alias("met"))
+    pivot = F.first("doc_id").over(Window.partitionBy("key").orderBy(F.desc("met"), "doc_id"))
+    keys = stash(keys.join(met, "doc_id").select("key", "doc_id", pivot.alias("pivot")), "keys")
     first = keys.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
     texts = docs.select("doc_id", "text")
     links = _confirmed(first, reps, texts, k, percent)
     comps = components(links)
-    more = _confirmed(_rest(keys.select("key", "doc_id"), comps, reps), reps, texts, k, percent)
+    more = _rest(keys, comps, reps, texts, k, percent)
     comps = components(links.union(more))
     drop(keys)
     classes = reps.join(comps, "doc_id", "left").select("n_shingles", "f1", "f2", F.coalesce("comp", "doc_id").alias("component_id"))

@@ -103,6 +103,7 @@ def brute_near(rows, k, percent):
 @pytest.mark.parametrize("block", [512, 3])
 def test_near(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 200 * block)
     for rows in (corpus(), chain()):
         got = near_duplicates(frame(spark, rows).repartition(4), 4).collect()
         assert sorted(map(tuple, got)) == brute_near(rows, 4, 80)
