@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -16,8 +17,8 @@ from .store import slots
 
 #: Rows of the count-min sketch.
 DEPTH = 2
-#: Windows that a task holds before it sends what it has.
-FLUSH = 1 << 22
+#: Windows, and windows estimated repeated, that a task holds before it sends what it has.
+FLUSH, FLUSH_REPEATED = 1 << 22, 1 << 20
 _SALTS = (0x1B873593, 0x5BD1E995)
 
 
@@ -142,18 +143,19 @@ def _candidates(window: int, bits: int, shared):
         d, s = d[by], s[by]
         cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (s[1:] > s[:-1] + window)]) if len(d) else np.zeros(0, int)
         ends = s[np.r_[cut[1:], len(s)] - 1] + window if len(d) else s
-        keep = ~repeat
+        keep = np.flatnonzero(~repeat)
+        keep = keep[np.lexsort((start[keep], doc[keep]))]  # neighbours in a document compress well
         cols = (
             signed(np.r_[h1[keep], mix(d[cut].astype(np.uint64) ^ (s[cut].astype(np.uint64) << np.uint64(40)))]),
             np.r_[h2[keep], np.zeros(len(cut), np.int32)],
             np.r_[doc[keep], d[cut]],
             np.r_[start[keep], s[cut]].astype(np.int32),
-            np.r_[np.zeros(keep.sum(), np.int32), ends.astype(np.int32)],
+            np.r_[np.zeros(len(keep), np.int32), ends.astype(np.int32)],
         )
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h1", "h2", "doc_id", "start", "end"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table = [np.frombuffer(zlib.decompress(x), np.uint8) for x in shared.value]
         held, n = [], 0
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -166,7 +168,7 @@ def _candidates(window: int, bits: int, shared):
                 other = words.shingles(window, wh, "other")[0][at]
                 held.append((h[at], (other >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[i + doc[at]], start[at]))
                 n += len(at)
-                if n >= FLUSH:
+                if n >= FLUSH_REPEATED:
                     yield send(held)
                     held, n = [], 0
         if n:
@@ -223,7 +225,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, bits: int | None = None)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = docs.where(F.col("doc_id").isNotNull())
     bits = bits or sketch_bits(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(sketch(named, window, bits))
+    shared = docs.sparkSession.sparkContext.broadcast([zlib.compress(x, 1) for x in sketch(named, window, bits)])
     rows = named.mapInArrow(_candidates(window, bits, shared), "h1 long, h2 int, doc_id long, start int, end int")
     rank = F.rank().over(Window.partitionBy("h1", "h2", "end").orderBy("doc_id", "start"))
     spans = (
