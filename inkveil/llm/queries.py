@@ -88,4 +88,29 @@ c AS (SELECT item_id, list_sort(list(s)) AS all_s, count(*) AS n FROM b GROUP BY
 r AS (SELECT min(item_id) AS item_id, n FROM c GROUP BY all_s, n)
 SELECT d.doc_id, r.item_id, count(*)::BIGINT AS n_shared, r.n::BIGINT AS n_shingles, count(*) / r.n::DOUBLE AS containment
 FROM d JOIN b USING (s) JOIN r ON b.item_id = r.item_id GROUP BY d.doc_id, r.item_id, r.n HAVING count(*) * 100 >= 80 * r.n""",
+        "op3_substring_dedup": r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+v AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS start FROM w),
+x AS (SELECT doc_id, start, row_number() OVER (PARTITION BY array_to_string(ws[start:start + 19], ' ') ORDER BY doc_id, start) AS n FROM v),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS place FROM x WHERE n > 1),
+p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS place FROM w),
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS kept FROM p ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
+        "op5_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS shingle FROM w),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_sides AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s AS a JOIN s AS b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT l.a, l.b FROM both_sides l JOIN c AS x ON x.doc_id = l.a JOIN c AS y ON y.doc_id = l.b WHERE 100 * l.n >= 80 * (x.n + y.n - l.n)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a)
+SELECT doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, least_one AS component_id, doc_id = least_one AS kept
+FROM (SELECT doc_id, min(other) AS least_one FROM reach GROUP BY doc_id) LEFT JOIN c USING (doc_id)""",
+        "op8_embedding_near_dedup": r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a),
+reach AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.other = links.a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least_one AS component_id, vec_id = least_one AS kept
+FROM (SELECT vec_id, min(other) AS least_one FROM reach GROUP BY vec_id) LEFT JOIN n USING (vec_id)""",
     }
