@@ -166,14 +166,14 @@ def fit(rows: list[tuple[str, str]]) -> Model:
 
 
 def training_rows(docs: DataFrame, per_language: int = 400, longest: int = 20_000) -> list[tuple[str, str]]:
-    """At most ``per_language`` rows of each language, by hash; texts over ``longest`` characters aren't sampled. Those two bound what is learned from."""
+    """At most ``per_language`` rows of each language, by hash; texts over ``longest`` characters aren't sampled. Those two bound what is learned from, so the chosen ids, which are broadcast, are bounded too."""
     some = docs.where("lang is not null and text is not null").where(F.length("text") <= longest).select("lang", "doc_id")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     # The first of a language are among the first of its shares, so no task ranks a whole language.
     some = some.withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARES)))
     some = some.withColumn("n", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("n") <= per_language)
     ids = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("n") <= per_language).select("doc_id", "n")
-    chosen = docs.where("lang is not null and text is not null").where(F.length("text") <= longest).join(ids, "doc_id").select("lang", "text", "n")
+    chosen = docs.where("lang is not null and text is not null").where(F.length("text") <= longest).join(F.broadcast(ids), "doc_id").select("lang", "text", "n")
     return [(r.lang, r.text) for r in sorted(chosen.collect(), key=lambda r: (r.lang, r.n, r.text))]
 
 
