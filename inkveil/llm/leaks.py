@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import stash
+
 #: Rows of item sketches up to which they are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 4_000_000
 
@@ -63,7 +65,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80)
     hashed = docs.select("doc_id", F.explode(F.array(shingle_hashes(words(F.col("text")), k))).alias("keys"))
     hashed = hashed.select("doc_id", F.size("keys").alias("size"), F.explode("keys").alias("key"))
     hit = hashed.join(sketch, "key").where("size >= need").groupBy("doc_id", "item_id", "hits").count().where("count >= hits")
-    near = hit.select("doc_id", "item_id").distinct()
+    near = stash(hit.select("doc_id", "item_id").distinct(), "hits")
     texts = docs.join(near.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", shingles(words(F.col("text")), k).alias("doc_shingles"))
     full = near.join(texts, "doc_id").join(items.select("item_id", "item_shingles", "n", "need"), "item_id")
     shared = full.select("doc_id", "item_id", F.size(F.array_intersect("doc_shingles", "item_shingles")).cast("long").alias("n_shared"), F.col("n").cast("long").alias("n_shingles"), "need").where("n_shared >= need")
