@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
+from .narrow import named
 from .shingle import documents, mix, signed
 from .store import drop, slots, stash
 
@@ -132,7 +133,7 @@ def _confirmed(pairs: DataFrame, signed_docs: DataFrame, texts: DataFrame, k: in
     )
     near = stash(near, "near")
     wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    texts = stash(texts.join(wanted, "doc_id", "left_semi"), "texts")
+    texts = stash(named(texts, wanted), "texts")
     full = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     links = stash(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long"), "links")
     drop(near)
@@ -243,7 +244,7 @@ def _rest(keys: DataFrame, comps: DataFrame, signed_docs: DataFrame, texts: Data
     some = _blocks(loaded, F.lit(1), BLOCK, "sig").mapInArrow(_partnered, "key long, doc_id long").distinct()
     some = stash(some.join(member, ["key", "doc_id"]), "partnered")
     wanted = some.select("doc_id").distinct()
-    texts = stash(texts.join(wanted, "doc_id", "left_semi"), "texts")
+    texts = stash(named(texts, wanted), "texts")
     loaded = some.join(texts, "doc_id").join(signed_docs.select("doc_id", "n_shingles"), "doc_id")
     weight = F.greatest(F.col("n_shingles"), F.lit(BLOCK_SHINGLES // BLOCK))
     links = stash(_blocks(loaded, weight, BLOCK_SHINGLES, "text").select("left", "right").mapInArrow(_linked(k, percent), "a long, b long"), "links")
