@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import leaks, neardup, packing, quality, secrets, store
+from inkveil.llm import leaks, narrow, neardup, packing, quality, secrets, store
 from inkveil.llm.queries import VOCABULARY, held_out, table
 
 
@@ -18,14 +18,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, 0.8) stays: the one of smallest doc_id. Null ids stay."""
-    lost = neardup.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    lost = store.stash(neardup.near_duplicates(docs).where("not kept").select("doc_id"), "lost")
+    return narrow.unnamed(docs, lost)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    hit = leaks.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    hit = store.stash(leaks.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "hit")
+    return narrow.unnamed(docs, hit)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,3 +34,17 @@ def named(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """
     joined, may = _marked(rows, ids, "inner")
     return joined.where(may).select(*rows.columns).join(ids.select("doc_id").distinct(), "doc_id").select(*rows.columns)
+
+
+def split(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose doc_id is surely not in ``ids``, and the others (a null doc_id is in either)."""
+    joined, may = _marked(rows, ids, "left")
+    return joined.where(~may).select(*rows.columns), joined.where(may).select(*rows.columns)
+
+
+def unnamed(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is not in ``ids`` (a table, as it is read twice). Rows with a null doc_id stay."""
+    clear, rest = split(rows, ids)
+    mark = max(rows.columns, key=len) + "_mark"
+    listed = ids.select("doc_id").distinct().withColumn(mark, F.lit(True))
+    return clear.union(rest.join(listed, "doc_id", "left").where(F.col(mark).isNull()).select(*rows.columns))

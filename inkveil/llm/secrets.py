@@ -8,6 +8,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .narrow import split
+from .store import stash
+
 MASK = "[SECRET]"
 #: A candidate: a run of at least 16 characters of keys and encodings, with a digit or a change of case.
 _RUN = r"[A-Za-z0-9+/_=-]{16,}"
@@ -123,11 +126,12 @@ def find_secrets(docs: DataFrame, model: RandomForestClassificationModel, path:
 
 def mask_secrets(docs: DataFrame, findings: DataFrame) -> DataFrame:
     """``docs`` with each secret replaced by a mask, longest first; n_chars, where there is one, follows. Other columns stay."""
-    secret = findings.where("is_secret").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("value").alias("_values"))
-    joined = docs.join(secret, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    secret = stash(findings.where("is_secret").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("value").alias("_values")), "secrets")
+    clear, rest = split(docs, secret.select(F.col("_id").alias("doc_id")))
+    joined = rest.join(secret, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     longest = F.array_sort("_values", lambda a, b: F.length(b) - F.length(a))
     text = F.when(F.col("_values").isNull(), F.col("text")).otherwise(F.aggregate(longest, F.col("text"), lambda t, v: F.replace(t, v, F.lit(MASK))))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_values").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    return clear.union(out.select(*docs.columns))

@@ -177,3 +177,18 @@ def test_reduction_is_whole_and_tight():
             assert back == counts
             lower = -(-sum(a * b for a, b in counts.items()) // size)
             assert sum(n for n, _ in bins) <= 11 / 9 * max(lower, sum(b for a, b in counts.items() if 2 * a > size)) + 1
+
+
+def test_bitmap_joins_keep_exact_rows(spark):
+    from pyspark.sql import functions as F
+
+    from inkveil.llm.narrow import named, unnamed
+
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("x").alias("doc_id_slot")).union(spark.sql("select null, 'n'"))
+    rows = rows.union(rows.where("doc_id = 7"))
+    ids = spark.range(0, 5000, 7).select(F.col("id").alias("doc_id")).union(spark.sql("select cast(null as bigint)"))
+    wanted = set(range(0, 5000, 7))
+    assert sorted(r.doc_id for r in named(rows, ids).collect()) == sorted([*wanted, 7])
+    left = [r.doc_id for r in unnamed(rows, ids).collect()]
+    assert len(left) == len(set(left)) and set(left) == (set(range(5000)) - wanted) | {None}
+    assert named(rows, ids.limit(0)).count() == 0 and unnamed(rows, ids.limit(0)).count() == rows.count()
