@@ -21,11 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of an Arrow batch at most while a table is written, and its bytes: texts are long, and a batch is held on both sides.
+ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkveil/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = {k: spark.conf.get(k, None) for k in ROWS}
+    for k, v in ROWS.items():
+        spark.conf.set(k, v)
+    try:
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.stash_path = path
     return out
