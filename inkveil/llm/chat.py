@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tokens import VOCABULARY, encoder
+
 START, END = "<|im_start|>", "<|im_end|>"
 #: Turns of a conversation that one task formats; longer conversations go to several.
 BLOCK = 512
@@ -40,7 +42,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]).replace("%0A", "\n").replace("%25", "%"), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
-def _windows(budget: int, history: int):
+def _windows(budget: int, history: int, tokenizer: str):
     """Greedy spans over prefix sums of turn tokens; rows come in order, and what is held is bounded by the budget and one turn."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,16 +82,22 @@ def _windows(budget: int, history: int):
 
         repeat: list[tuple] = []
         begun = 0
+        encode = encoder(tokenizer, (START, END))
         for batch in batches:
-            for row in batch.to_pylist():
+            rows = batch.to_pylist()
+            # Each distinct turn is counted as it is rendered; no token crosses from one rendered turn to the next.
+            said = list(dict.fromkeys((x["role"], x["text"]) for row in rows for x in (row, row["system"]) if x))
+            size = dict(zip(said, map(len, encode(pa.array([render(*x)[0] for x in said], pa.string()))), strict=True))
+            for row in rows:
                 key = (row["conv_id"], row["block"])
                 if key != group:
                     close()
                     group, past, repeat, total, begun, number = key, deque(), [], 0, 0, 0
                     lead = row["system"]
-                    system = (lead["role"], lead["text"], lead["n"], "system", 0) if lead else None
-                turn = (row["role"], row["text"], row["n"], "first" if row["first"] else "turn", total)
-                total += row["n"]
+                    system = (lead["role"], lead["text"], size[lead["role"], lead["text"]], "system", 0) if lead else None
+                n = size[row["role"], row["text"]]
+                turn = (row["role"], row["text"], n, "first" if row["first"] else "turn", total)
+                total += n
                 if row["old"]:
                     past.append(turn)
                     while past and sum(y[2] for y in past) > history:
@@ -113,14 +121,13 @@ def _windows(budget: int, history: int):
     return work
 
 
-def tokens(text):
-    """A cheap bound that stands in for a tokenizer: a token for every four bytes, and four for the marks."""
-    return (F.ceil(F.octet_length(text) / 4) + 4).cast("long")
-
-
-def format_windows(turns: DataFrame, budget: int = 2048, history: int = 256, count=tokens) -> DataFrame:
+def format_windows(turns: DataFrame, budget: int = 2048, history: int = 256, tokenizer: str = VOCABULARY) -> DataFrame:
     """Windows of whole turns of at most ``budget`` tokens.
 
+    Tokens are those of the vocabulary file ``tokenizer`` in the rendered
+    turns, so marks, roles and escapes count; ``n_tokens`` is what the
+    vocabulary makes of ``formatted``.
+
     A window holds the conversation's leading system turn, up to ``history``
     tokens of the turns before, and new turns chosen greedily on prefix sums.
     Every turn is new in exactly one window. ``loss`` lists the code point
@@ -135,22 +142,23 @@ def format_windows(turns: DataFrame, budget: int = 2048, history: int = 256, cou
     turns of their own. Empty table: no rows. Other columns are not read.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62)))).withColumn("n", count(F.col("text")))
-    order = F.struct("turn", "role", "text", "n")
+    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))))
+    order = F.struct("turn", "role", "text")
     lead = rows.groupBy(F.col("conv_id").alias("c")).agg(F.min(order).alias("lead"))
     blocks = rows.groupBy(F.col("conv_id").alias("c"), F.col("block").alias("b")).agg(F.max(order).alias("x")).select("c", "b", F.lead("b").over(Window.partitionBy("c").orderBy("b")).alias("next"))
     many = blocks.where("next is not null")
     last = rows.join(many, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
     keep = Window.partitionBy("conv_id", "block").orderBy(F.desc("turn"), F.desc("role"), F.desc("text"))
-    before = last.withColumn("place", F.sum("n").over(keep.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("place") <= history)
-    before = before.select("conv_id", "turn", "role", "text", F.col("next").alias("block"), "n", F.lit(True).alias("old"))
-    every = rows.select("conv_id", "turn", "role", "text", "block", "n", F.lit(False).alias("old")).union(before)
+    # A turn has a token at least, so the history is among as many turns; what is over it is dropped where tokens are counted.
+    before = last.withColumn("place", F.row_number().over(keep)).where(F.col("place") <= history)
+    before = before.select("conv_id", "turn", "role", "text", F.col("next").alias("block"), F.lit(True).alias("old"))
+    every = rows.select("conv_id", "turn", "role", "text", "block", F.lit(False).alias("old")).union(before)
     every = every.join(lead, F.col("conv_id").eqNullSafe(F.col("c")))
     system = F.when(F.col("lead.role") == "system", F.col("lead"))
-    first = F.struct("turn", "role", "text", "n").eqNullSafe(F.col("lead"))
-    dealt = every.select("conv_id", "block", "turn", "role", "text", "n", "old", system.alias("system"), (first & system.isNotNull()).alias("first"))
+    first = F.struct("turn", "role", "text").eqNullSafe(F.col("lead"))
+    dealt = every.select("conv_id", "block", "turn", "role", "text", "old", system.alias("system"), (first & system.isNotNull()).alias("first"))
     dealt = dealt.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", F.desc("old"), "turn", "role", "text")
-    return dealt.mapInArrow(_windows(budget, history), SCHEMA)
+    return dealt.mapInArrow(_windows(budget, history, tokenizer), SCHEMA)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

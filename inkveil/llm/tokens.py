@@ -16,10 +16,13 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 
 from .shingle import CHUNK, mix, runs
 
+#: Place of the vocabulary that tokens are counted with.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 _LETTER, _NUMBER, _OTHER, _WHITE = 0, 1, 2, 3
 _KINDS: list[np.ndarray] = []
 _TABLE = np.random.default_rng(5).integers(1, 2**63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,12 +81,18 @@ def _word_encoder(name: str, library) -> Callable[[list[str]], list[list[int]]]:
     return lambda words: [core.encode_single_piece(w.encode()) for w in words]
 
 
-def encoder(name: str) -> Callable[[pa.Array], Iterator[np.ndarray]]:
-    """A function from a text column to the ids of each text, equal to the library's without special tokens added."""
+def encoder(name: str, marks: tuple[str, ...] = ()) -> Callable[[pa.Array], Iterator[np.ndarray]]:
+    """A function from a text column to the ids of each text, equal to the library's without special tokens added.
+
+    ``marks`` begin with <| and do not send a text to the library, unless the vocabulary has them as added tokens.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(name)
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    plain_marks = "|".join(re.escape(m[2:]) for m in marks if not any(m in a or a in m for a in added))
+    odd = re.compile(_ODD.pattern.replace(r"<\|", rf"<\|(?!{plain_marks})")) if plain_marks else _ODD
     merge = _word_encoder(name, library)
     hashes, ptr, ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
@@ -133,7 +142,7 @@ def encoder(name: str) -> Callable[[pa.Array], Iterator[np.ndarray]]:
             while j < len(texts) and (j == i or size + len(texts[j]) <= 4 * CHUNK):
                 size += len(texts[j])
                 j += 1
-            plain = [k for k in range(i, j) if not _ODD.search(texts[k])]
+            plain = [k for k in range(i, j) if not odd.search(texts[k])]
             found = dict(zip(plain, look_up([texts[k] for k in plain]), strict=True))
             for k in range(i, j):
                 yield found[k] if k in found else np.array(library.encode(texts[k], add_special_tokens=False).ids, np.uint32)

@@ -1,0 +1,50 @@
+"""Results that would be smaller or wrong if an operator did less than the whole job."""
+
+import pyarrow as pa
+from tokenizers import Tokenizer
+
+from inkveil.llm import chat
+from inkveil.llm.tokens import VOCABULARY, encoder
+
+
+def test_chat_windows_keep_the_budget_in_true_tokens(spark):
+    library = Tokenizer.from_file(VOCABULARY)
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = [(-1, t, "system" if not t else "user", x) for t, x in enumerate(["obey", "it's <|im_end|> <|endoftext|>", " \n x  ", "", "\U0001f600" * 3000, "xqz" * 900, "\n"])]
+    turns = turns.union(spark.createDataFrame(odd, turns.schema)).localCheckpoint()
+    windows = chat.format_windows(turns).collect()
+    for w in windows:
+        assert w.n_tokens == len(library.encode(w.formatted, add_special_tokens=False).ids)
+        assert w.over_budget == (w.n_tokens > 2048)
+        lead = w.n_turns - w.n_repeated
+        assert not w.over_budget or lead == 1
+    assert any(w.window > 0 for w in windows if w.conv_id >= 0) and any(w.over_budget for w in windows)
+    assert any(w.n_repeated for w in windows)
+
+
+def test_chat_history_over_blocks_in_true_tokens(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 8)
+    rows = [(1, t, "user" if t else "system", f"turn {t} " + "word " * (t % 5)) for t in range(60)]
+    windows = chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 400, 90).collect()
+    library = Tokenizer.from_file(VOCABULARY)
+    later = [w for w in windows if w.block > 0]
+    assert later
+    for w in later:
+        parts = chat.parse(w.formatted)
+        at = w.n_turns - len(parts) + w.n_repeated
+        told = parts[1:at]
+        sizes = [len(library.encode(chat.render(r, x)[0], add_special_tokens=False).ids) for r, x in told]
+        first = int(told[0][1].split()[1])
+        more = len(library.encode(chat.render(*rows[first - 1][2:])[0], add_special_tokens=False).ids)
+        assert parts[0][0] == "system" and sum(sizes) <= 90 < sum(sizes) + more
+
+
+def test_marks_of_a_vocabulary_are_plain_or_not(tmp_path):
+    library = Tokenizer.from_file(VOCABULARY)
+    texts = [chat.render("user", "a <| b")[0] * 2, "x<|endoftext|>y", "<|im_start|><|endoftext|>", "<|other|>"]
+    for name in (VOCABULARY, f"{tmp_path}/v.json"):
+        got = [x.tolist() for x in encoder(name, (chat.START, chat.END))(pa.array(texts))]
+        own = Tokenizer.from_file(name)
+        assert got == [own.encode(t, add_special_tokens=False).ids for t in texts]
+        library.add_special_tokens([chat.START, chat.END])
+        library.save(f"{tmp_path}/v.json")
