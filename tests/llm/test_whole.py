@@ -1,9 +1,11 @@
 """Results that would be smaller or wrong if an operator did less than the whole job."""
 
+import random
+
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from inkveil.llm import chat
+from inkveil.llm import chat, language
 from inkveil.llm.tokens import VOCABULARY, encoder
 
 
@@ -48,3 +50,20 @@ def test_marks_of_a_vocabulary_are_plain_or_not(tmp_path):
         assert got == [own.encode(t, add_special_tokens=False).ids for t in texts]
         library.add_special_tokens([chat.START, chat.END])
         library.save(f"{tmp_path}/v.json")
+
+
+def test_languages_of_scripts_with_many_letters(spark):
+    rng = random.Random(5)
+    scripts = {"xa": range(0x61, 0x7B), "xb": range(0x430, 0x450), "za": range(0x4E00, 0x5200), "zb": range(0x5000, 0x5400), "ka": range(0xAC00, 0xB000), "kb": range(0xAE00, 0xB200), "a": range(0x20000, 0x20040), "b": range(0x20020, 0x20060)}
+
+    def text(lang):
+        return "".join(chr(rng.choice(scripts[lang])) for _ in range(60))
+
+    docs = [(i, text(lang), lang) for i, lang in enumerate(sorted(scripts) * 60)]
+    docs += [(1000, "ωψξφ " * 5000, "long")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language.fit(language.training_rows(frame))
+    new = [(i, text(lang), lang) for i, lang in enumerate(sorted(scripts) * 10)] + [(1000, "φωψξ ξφωψ", "long")]
+    got = language.identify(spark.createDataFrame(new, "doc_id long, text string, lang string"), model).collect()
+    assert [(r.doc_id, r.nearest) for r in sorted(got)] == [(i, lang) for i, _, lang in sorted(new)]
+    assert {len(t) for lang, t in language.training_rows(frame) if lang == "long"} == {20_000}
