@@ -12,12 +12,18 @@ from .narrow import split
 from .store import stash
 
 MASK = "[SECRET]"
-#: A candidate: a run of at least 16 characters of keys and encodings, with a digit or a change of case.
+#: A candidate: a run of at least 16 characters of keys and encodings, with a digit or a change of case or a known prefix.
 _RUN = r"[A-Za-z0-9+/_=-]{16,}"
-_PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,40}PRIVATE KEY-----"
+_PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[\s\\nr]*(?:[A-Za-z][A-Za-z0-9-]{0,40}:[^\r\n\\]{0,200}[\s\\][\s\\nr]*){0,8}[A-Za-z0-9+/=\s\\]*-----END [A-Z ]{0,40}PRIVATE KEY-----"
 #: Prefixes of issued tokens, and words that stand near secrets, near harmless values, and inside identifiers.
-_KNOWN = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abpr]-|sk-|sk_live_|rk_live_|AIza|eyJ|-----BEGIN )"
+_ISSUED = r"AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abpr]-|sk-|sk_live_|rk_live_|AIza|eyJ"
+_KNOWN = rf"^({_ISSUED}|-----BEGIN )"
+#: A run that begins with a known prefix inside a longer one, as in id=AKIA...
+_INNER = rf"(?<![A-Za-z0-9])(?=[A-Za-z0-9+/_=-]{{16}})(?:{_ISSUED})[A-Za-z0-9+/_=-]+"
 _NEAR = r"(token|secret|passw|pwd|api.?key|apikey|auth|bearer|credential|private|access|client|key)"
+#: What stands before a value that a name near secrets is given, and with it the value, of whatever length and characters.
+_GIVEN = rf"(?i:{_NEAR}[A-Za-z0-9_.-]{{0,32}}[\"'`]?\s{{0,4}}[=:]{{1,2}}>?\s{{0,4}})"
+_ASSIGNED = _GIVEN + r"""("[^"\n]{1,200}"|'[^'\n]{1,200}'|`[^`\n]{1,200}`|["'`]?[^\s"'`]\S*)"""
 _HARMLESS = r"(commit|sha|md5|checksum|hash|digest|uuid|guid|rev|version|build|etag|integrity|order|invoice|isbn|serial|card|phone|number|object|blob)"
 _DICTIONARY = r"(the|and|test|example|sample|value|config|name|data|user|file|index|class|function|module|service|server|client|default|version|production|application|table|public|static|import|string|update|create|delete|message|handler|request|response)"
 _PATH = r"(?i)(test|example|sample|fixture|mock|doc|vendor|lock)"
@@ -63,10 +69,14 @@ def labelled_findings(spark: SparkSession, n: int = 160) -> DataFrame:
     harmless = "array('commit', 'sha256', 'checksum', 'etag', 'revision', 'uuid', 'build', 'digest')[int(id % 8)]"
     prose = "array('the', 'of', 'in', 'and', 'is', 'to', 'le', 'der')[int(id % 8)]"
     ident = "array_join(transform(sequence(1, 3 + int(id % 3)), i -> array('user', 'config', 'handler', 'service', 'index', 'request', 'update', 'table', 'message', 'default')[int((id * 7 + i * 3 + i * id) % 10)]), '_')"
+    word = "array('hunter', 'summer', 'dragon', 'monkey', 'welcome', 'secret', 'sommer', 'soleil')[int(id * 3 % 8)]"
+    plain = "array('string', 'None', 'true', 'Smith', 'required', '42', 'get_value()', concat('$', '{NAME}'), '<your-value>', '10:30', 'the', 'words', 'Martin', '****', 'null', 'important')[int(id % 16)]"
     true = {
         "hex": (f"substr({hexes}, 1, array(32, 40, 40, 64)[int(id % 4)])", f"concat({name}, ' =')"),
         "base64": (f"substr({b64}, 1, 20 + int(id % 40))", f"concat({name}, array(' =', ':', '=')[int(id % 3)])"),
         "issued": (f"concat(array('AKIA', 'ghp_', 'sk-', 'xoxb-', 'glpat-', 'AIza', 'sk_live_')[int(id % 7)], if(id % 7 = 0, upper(substr({hexes}, 1, 16)), substr({b64}, 1, 24 + int(id % 16))))", f"if(id % 2 = 0, concat({name}, ' ='), {prose})"),
+        "capitals": (f"concat(array('AKIA', 'ASIA')[int(id % 2)], translate(upper(substr({hexes}, 1, 16)), '0123456789', 'GHIJKLMNOP'))", f"if(id % 2 = 0, concat({name}, ' ='), {prose})"),
+        "password": (f"array(concat(substr({b64}, 1, 6 + int(id % 8)), '!'), concat({word}, 10 + id), concat(initcap({word}), array('@', '#', '$', '!')[int(id % 4)], 1990 + id % 40), concat(substr({hexes}, 1, 5 + int(id % 9)), '.', upper({word})))[int(id % 4)]", f"concat({name}, array(' =', ':', '=')[int(id % 3)])"),
         "pem": (f"concat('-----BEGIN RSA PRIVATE KEY----- ', {b64}, ' -----END RSA PRIVATE KEY-----')", "''"),
     }
     false = {
@@ -76,6 +86,7 @@ def labelled_findings(spark: SparkSession, n: int = 160) -> DataFrame:
         "uuid": (f"regexp_replace(substr({hexes}, 1, 32), '(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})', '$1-$2-$3-$4-$5')", f"array('id', 'uuid:', 'request', 'the')[int(id % 4)]"),
         "name": (f"concat({ident}, '_', id)", f"if(id % 3 = 0, concat({name}, ' ='), {prose})"),
         "path": (f"concat('/usr/', replace({ident}, '_', '/'), '/v', id)", prose),
+        "plain": (plain, f"concat({name}, array(' =', ':', '=')[int(id % 3)])"),
         "date": ("concat('2024-01-', 10 + int(id % 18), '_12-30-', 10 + int(id % 50), '_run')", prose),
     }
     rows = None
@@ -87,7 +98,7 @@ def labelled_findings(spark: SparkSession, n: int = 160) -> DataFrame:
 
 
 def train(findings: DataFrame, trees: int = 24, depth: int = 7) -> RandomForestClassificationModel:
-    """A random forest of labelled findings (value, word, before, path, label). Fitted on at most what is passed; the built-in set is 1760 rows."""
+    """A random forest of labelled findings (value, word, before, path, label). Fitted on at most what is passed; the built-in set is 2240 rows."""
     spark = findings.sparkSession
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(findings)).select("features", "label")
     parts = spark.conf.get("spark.sql.shuffle.partitions")
@@ -96,17 +107,31 @@ def train(findings: DataFrame, trees: int = 24, depth: int = 7) -> RandomForestC
     return forest.fit(rows.coalesce(2))
 
 
+def _mixed(value: Column) -> Column:
+    return value.rlike("[0-9]|[a-z][A-Z]")
+
+
+def _runs(text: Column) -> Column:
+    """Runs of a text, and those of a known prefix inside them."""
+    plain = F.filter(F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)), lambda v: _mixed(v) | v.rlike(_KNOWN))
+    return F.array_distinct(F.concat(plain, F.regexp_extract_all(text, F.lit(_INNER), F.lit(0))))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """Findings before the forest: doc_id, place (number of the word, -1 for a key block), value, word, before, path."""
-    found = docs.where(F.col("text").rlike(_RUN) | F.col("text").contains("-----BEGIN "))
+    """Findings before the forest: doc_id, place (number of the word, -1 for a key block, -2 for an assigned value that is no run), value, word, before, path."""
+    found = docs.where(F.col("text").rlike(_RUN) | F.col("text").contains("-----BEGIN ") | F.col("text").rlike(_ASSIGNED))
     found = found.select("doc_id", "path", "text", F.split("text", r"\s+").alias("ws"))
     plain = F.transform("ws", lambda w, i: F.struct(i.alias("i"), w.alias("w")))
-    plain = F.filter(plain, lambda x: (F.length(x.w) >= 16) & x.w.rlike(_RUN) & x.w.rlike("[0-9]|[a-z][A-Z]"))
+    plain = F.filter(plain, lambda x: (F.length(x.w) >= 16) & x.w.rlike(_RUN) & (_mixed(x.w) | x.w.rlike(_INNER)))
     before = F.array_join(F.slice(F.col("ws"), F.greatest(F.col("i") - 1, F.lit(1)), F.least(F.col("i"), F.lit(2))), " ")
     runs = found.select("doc_id", "path", "ws", F.explode(plain).alias("x")).select("doc_id", "path", "ws", F.col("x.i").alias("i"), F.col("x.w").alias("word"))
-    runs = runs.select("doc_id", F.col("i").alias("place"), F.explode(F.regexp_extract_all("word", F.lit(_RUN), F.lit(0))).alias("value"), "word", before.alias("before"), "path").where(F.col("value").rlike("[0-9]|[a-z][A-Z]"))
+    runs = runs.select("doc_id", F.col("i").alias("place"), F.explode(_runs(F.col("word"))).alias("value"), "word", before.alias("before"), "path")
+    given = found.where(F.col("text").rlike(_ASSIGNED)).select("doc_id", "path", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_ASSIGNED), F.lit(0)))).alias("word"))
+    value = F.regexp_replace(F.regexp_replace(F.regexp_extract("word", f"^{_ASSIGNED}", 2), r"[,;]+$", ""), "^[\"'`]|[\"'`]$", "")
+    given = given.withColumn("value", value).where((F.col("value") != "") & (F.col("value") != MASK) & ~F.array_contains(_runs(F.col("text")), F.col("value")))
+    given = given.select("doc_id", F.lit(-2).alias("place"), "value", "word", F.lit("").alias("before"), "path")
     pem = found.where(F.col("text").contains("-----BEGIN ")).select("doc_id", F.lit(-1).alias("place"), F.explode(F.regexp_extract_all("text", F.lit(_PEM), F.lit(0))).alias("value"), "path")
-    return runs.unionByName(pem.select("doc_id", "place", "value", F.col("value").alias("word"), F.lit("").alias("before"), "path"))
+    return runs.unionByName(given).unionByName(pem.select("doc_id", "place", "value", F.col("value").alias("word"), F.lit("").alias("before"), "path"))
 
 
 def find_secrets(docs: DataFrame, model: RandomForestClassificationModel, path: str = "source", least: float = 0.5) -> DataFrame:
@@ -125,12 +150,16 @@ def find_secrets(docs: DataFrame, model: RandomForestClassificationModel, path:
 
 
 def mask_secrets(docs: DataFrame, findings: DataFrame) -> DataFrame:
-    """``docs`` with each secret replaced by a mask, longest first; n_chars, where there is one, follows. Other columns stay."""
-    secret = stash(findings.where("is_secret").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("value").alias("_values")), "secrets")
+    """``docs`` with each secret replaced by a mask, longest first; n_chars, where there is one, follows. Other columns stay.
+
+    An assigned value under 16 characters is replaced where it is assigned only, as it may be part of other words.
+    """
+    secret = stash(findings.where("is_secret").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("value", ((F.col("place") == -2) & (F.length("value") < 16)).alias("short"))).alias("_values")), "secrets")
     clear, rest = split(docs, secret.select(F.col("_id").alias("doc_id")))
     joined = rest.join(secret, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    longest = F.array_sort("_values", lambda a, b: F.length(b) - F.length(a))
-    text = F.when(F.col("_values").isNull(), F.col("text")).otherwise(F.aggregate(longest, F.col("text"), lambda t, v: F.replace(t, v, F.lit(MASK))))
+    longest = F.array_sort("_values", lambda a, b: F.length(b.value) - F.length(a.value))
+    quoted = lambda v: F.concat(F.lit(rf"({_GIVEN}[\"'`]?)\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    text = F.when(F.col("_values").isNull(), F.col("text")).otherwise(F.aggregate(longest, F.col("text"), lambda t, v: F.when(v.short, F.regexp_replace(t, quoted(v.value), F.lit(f"$1{MASK}"))).otherwise(F.replace(t, v.value, F.lit(MASK)))))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_values").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
