@@ -5,7 +5,8 @@ import random
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from inkveil.llm import chat, language, secrets
+import corpus_pipeline
+from inkveil.llm import chat, language, leaks, secrets
 from inkveil.llm.tokens import VOCABULARY, encoder
 
 
@@ -91,3 +92,18 @@ def test_secrets_of_any_length_and_characters(spark):
         assert secret not in masked[i] and secrets.MASK in masked[i], (i, masked[i])
     assert {i: masked[i] for i in calm} == calm
     assert masked[30] == "password=[SECRET] zq7!x"
+
+
+def test_leaks_of_short_items_and_scripts_without_spaces(spark, tmp_path):
+    rng = random.Random(8)
+    long = [f"w{rng.randrange(300)}" for _ in range(9)]
+    items = [(1, "Where is Paris?"), (2, "東京はどこですか。"), (3, "where, is PARIS"), (4, " ".join(long)), (5, "?!"), (None, "no id"), (6, None)]
+    docs = [(1, "so where is paris then"), (2, "質問。東京はどこですか？答え"), (3, "where is the paris"), (4, "a " + " ".join(long)), (5, "?! no id"), (6, None), (1, "where is paris"), (7, "paris")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    bench = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
+    got = leaks.find_leaks(frame, bench, short=True).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_shared, r.n_shingles, r.containment) for r in got) == [(1, 1, 1, 1, 1.0), (2, 2, 1, 1, 1.0), (4, 4, 5, 5, 1.0)]
+    assert [(r.doc_id, r.item_id) for r in leaks.find_leaks(frame, bench).collect()] == [(4, 4)]
+    kept = corpus_pipeline.decontamination_stage(spark, frame, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == [3, 5, 6, 7]
