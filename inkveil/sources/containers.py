@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import email
 import email.policy
+import html
 import io
 import re
 import zipfile
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 
 UNITS = "path string, unit_ord int, unit string, surface string, header string, text string, error string"
 _COLUMNS = ["unit_ord", "unit", "surface", "header", "text", "error"]
+_HIDDEN, _ANY_TAG = re.compile(r"(?is)<(script|style)\b[^>]*>.*?</\1>"), re.compile(r"<[^>]+>")
 Unit = tuple[str, str, str | None, str]
 
 
@@ -115,11 +117,14 @@ def epub(content: bytes) -> Iterator[Unit]:
 
 
 def message(content: bytes) -> tuple[dict[str, str], str, list[tuple[str, bytes]]]:
-    """Headers, best body (plain before HTML) and attachments of a mail."""
+    """Headers, best body (plain before HTML, which loses its tags and has its entities decoded) and attachments of a mail."""
     m = email.message_from_bytes(content, policy=email.policy.default)
     heads = {h: str(m[h]) for h in ("From", "To", "Cc", "Subject", "Date") if m[h]}
     body = m.get_body(("plain", "html"))
-    return heads, body.get_content() if body else "", [(a.get_filename() or "", a.get_payload(decode=True) or b"") for a in m.iter_attachments()]
+    text = body.get_content() if body else ""
+    if body and body.get_content_type() == "text/html":
+        text = html.unescape(_ANY_TAG.sub(" ", _HIDDEN.sub(" ", text)))
+    return heads, text, [(a.get_filename() or "", a.get_payload(decode=True) or b"") for a in m.iter_attachments()]
 
 
 def eml(content: bytes) -> Iterator[Unit]:

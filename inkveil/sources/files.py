@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import csv
 import io
+import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.checks import decode
 
@@ -16,6 +18,7 @@ from ..functions.checks import decode
 TEXT = (".txt", ".md", ".log", ".json", ".yaml", ".yml", ".xml", ".html", ".htm")
 TABLES = (".csv", ".tsv")
 IMAGES = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".gif", ".webp", ".heic", ".heif", ".avif", ".ico", ".psd", ".dng", ".cr2", ".nef", ".arw")
+MIMETYPES = {".odt": "application/vnd.oasis.opendocument.text", ".odp": "application/vnd.oasis.opendocument.presentation", ".epub": "application/epub+zip"}
 OLE2, ZIP, PDF, RTF = "D0CF11E0A1B11AE1", "504B0304", "25504446", "7B5C727466"
 
 
@@ -30,21 +33,45 @@ def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"(\.[^./]*)$", 1))
 
 
+@F.pandas_udf(T.StringType())
+def _mimetype(content: pd.Series) -> pd.Series:
+    """The mimetype entry of zips; null where there is none or the zip is not readable."""
+
+    def read(x: bytes | None) -> str | None:
+        try:
+            with zipfile.ZipFile(io.BytesIO(x)) as z:
+                return z.read("mimetype").decode("ascii", "replace").strip()
+        except Exception:  # noqa: BLE001  a zip that cannot be read has no type
+            return None
+
+    return content.map(read, na_action="ignore").astype("object")
+
+
 def route(name: Column, content: Column) -> Column:
-    """The kind of a file, by its first bytes before its name."""
+    """The kind of a file, by its first bytes before its name; whatever its name, it is text if its first 4096 bytes are UTF-8.
+
+    A character that the 4096th byte cuts counts as no UTF-8. Zips whose
+    mimetype entry contradicts the name are unsupported; without the entry, the
+    name decides.
+    """
     head, ext = F.hex(F.substring(content, 1, 8)), extension(name)
+    typed = F.create_map(*(F.lit(x) for pair in MIMETYPES.items() for x in pair))[ext]
+    # Only zips of typed formats are passed to Python.
+    other = F.coalesce(_mimetype(F.when(head.startswith(ZIP) & ext.isin(*MIMETYPES), content)) != typed, F.lit(False))
     return (
         F.when(head.startswith(PDF), "pdf")
         .when(head.startswith(RTF) | (ext == ".rtf"), "legacy_office")
         .when(ext.isin(".eml", ".msg"), "email")
         .when((head == OLE2) & ext.isin(".docx", ".xlsx", ".pptx"), "encrypted_office")
-        .when((head == OLE2) | ext.isin(".doc", ".xls", ".ppt"), "office_binary")
+        .when((head == OLE2) | (ext == ".doc"), "office_binary")
+        .when(head.startswith(ZIP) & other, "unsupported")
         .when(head.startswith(ZIP) & ext.isin(".docx", ".pptx", ".odt", ".odp"), "office")
         .when(head.startswith(ZIP) & ext.isin(".xlsx", ".xlsm"), "excel")
         .when(head.startswith(ZIP) & (ext == ".epub"), "epub")
+        .when(head.startswith(ZIP), "unsupported")
         .when(ext.isin(*IMAGES), "image")
         .when(ext.isin(*TABLES), "csv")
-        .when(ext.isin(*TEXT), "text")
+        .when(ext.isin(*TEXT) | (ext != ".odt") & F.is_valid_utf8(F.substring(content, 1, 4096).cast("string")), "text")
         .otherwise("unsupported")
     )
 
