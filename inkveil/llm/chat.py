@@ -82,7 +82,7 @@ def _windows(budget: int, history: int, tokenizer: str):
 
         repeat: list[tuple] = []
         begun = 0
-        encode = encoder(tokenizer, (START, END))
+        encode = encoder(tokenizer)
         for batch in batches:
             rows = batch.to_pylist()
             # Each distinct turn is counted as it is rendered; no token crosses from one rendered turn to the next.

@@ -13,7 +13,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the least label among neighbours, then the label's own
     label, so long chains shorten by half. Only nodes with links are returned.
-    Labels are written to the shared folder after each round.
+    Labels are written to the shared folder after each round; the last are
+    for the caller to drop.
     """
     both = links.select("a", "b").union(links.select("b", "a")).distinct()
     edges = stash(both, "edges")
@@ -22,10 +23,12 @@ def components(links: DataFrame) -> DataFrame:
         seen = edges.join(now.select(F.col("doc_id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("comp").alias("near"))
         least = now.join(seen, "doc_id").select("doc_id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         jump = least.join(now.select(F.col("doc_id").alias("comp"), F.col("comp").alias("far")), "comp")
-        after = stash(jump.select("doc_id", "old", F.least("comp", "far").alias("comp")), "label")
-        changed = after.where("old <> comp").limit(1).count()
+        after = stash(jump.select("doc_id", F.least("comp", "far").alias("comp"), "old"), "label")
+        changed = not after.where("old <> comp").isEmpty()
         drop(now)
         now = after
         if not changed:
             drop(edges)
-            return now.select("doc_id", "comp")
+            out = now.select("doc_id", "comp")
+            out.stash_path = now.stash_path
+            return out

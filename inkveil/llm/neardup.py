@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .narrow import named
-from .shingle import documents, mix, signed
-from .store import drop, slots, stash
+from .narrow import named, unnamed
+from .shingle import Words, documents, flat, mix, runs, signed
+from .store import drop, stash
 
 WIDTH, CHUNKS = 4, 14
 HASHES = WIDTH * CHUNKS
@@ -45,10 +45,7 @@ def shingle_sets(text: pa.Array, k: int) -> Iterator[np.ndarray]:
             if n >= k:
                 yield np.unique(h[cut[d] : cut[d + 1]])
             elif n:
-                one = np.zeros(1, np.uint64)
-                for w in wh[words.ptr[d] : words.ptr[d + 1]]:
-                    one = mix(one * np.uint64(31) + w, int(n))
-                yield one
+                yield runs(wh[words.ptr[d] : words.ptr[d + 1]], int(n))
             else:
                 yield np.zeros(0, np.uint64)
 
@@ -62,7 +59,9 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mix(low.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
 
-def _sign(k: int):
+def _sign(k: int, keep: bool = False):
+    """The size, fingerprints and signature of each row's set; with ``keep`` its text too."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, one, two, sig = [], [], [], []
@@ -71,11 +70,18 @@ def _sign(k: int):
                 one.append(int(signed(np.add.reduce(mix(s, 1), keepdims=True))[0]))
                 two.append(int(signed(np.add.reduce(mix(s, 2), keepdims=True))[0]))
                 sig.append(signature(s).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "sig"])
+            kept = [batch.column("text")] * keep
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.binary()), *kept], [*SIGNED, *["text"] * keep])
 
     return work
 
 
+#: Columns of a document's set: its size, two fingerprints that stand for it, and its signature.
+SIGNED = ["doc_id", "n_shingles", "f1", "f2", "sig"]
+_SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, sig binary"
+SET = ["n_shingles", "f1", "f2"]
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each signature under the keys of all its chunks: the chunk with any one symbol left out."""
     three = [[j for j in range(WIDTH) if j != out] for out in range(WIDTH)]
@@ -98,8 +104,18 @@ def _distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array((a != b).sum(axis=1) <= MOST))
 
 
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _same_words(x: str, y: str, k: int, percent: int) -> bool:
+    """Whether two texts are similar enough by the words themselves, not by hashes."""
+    return _similar(*Words(*flat(pa.array([x, y])), lower=True).numbered(k), percent)
+
+
 def _confirm(k: int, percent: int):
-    """Keeps pairs whose whole shingle sets are similar enough."""
+    """Keeps pairs whose whole shingle sets are similar enough: first by hashes, as most pairs fail there, then by words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, np.ndarray] = {}
@@ -114,9 +130,7 @@ def _confirm(k: int, percent: int):
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-                a, b = of(x), of(y)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
+                ok.append(_similar(of(x), of(y), percent) and _same_words(x, y, k, percent))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return work
@@ -136,8 +150,7 @@ def _confirmed(pairs: DataFrame, signed_docs: DataFrame, texts: DataFrame, k: in
     texts = stash(named(texts, wanted), "texts")
     full = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     links = stash(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long"), "links")
-    drop(near)
-    drop(texts)
+    drop(near, texts)
     return links
 
 
@@ -195,7 +208,9 @@ def _linked(k: int, percent: int):
         for batch in batches:
             out_a, out_b = [], []
             for left, right in zip(*(batch.column(c).to_pylist() for c in ("left", "right")), strict=True):
-                (ia, ca, sa), (ib, cb, sb) = (([x["doc_id"] for x in block], np.array([x["comp"] for x in block]), list(shingle_sets(pa.array([x["load"] for x in block]), k))) for block in (left, right))
+                (ia, ca), (ib, cb) = (([x["doc_id"] for x in block], np.array([x["comp"] for x in block])) for block in (left, right))
+                sets = Words(*flat(pa.array([x["load"] for x in [*left, *right]])), lower=True).numbered(k)
+                sa, sb = sets[: len(left)], sets[len(left) :]
                 both = _overlaps(sa, sb)
                 whole = np.array([len(x) for x in sa])[:, None] + np.array([len(x) for x in sb])[None, :] - both
                 root: dict[int, int] = {}
@@ -217,17 +232,22 @@ def _linked(k: int, percent: int):
     return work
 
 
-def _blocks(member: DataFrame, weight, most: int, load: str) -> DataFrame:
-    """Pairs of blocks of a bucket that cover all pairs of its members but those within the pivot's component.
+def _blocks(member: DataFrame, weight, most: int, load: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs of blocks of a bucket that cover all pairs of its members but those within the pivot's component, and the blocks.
 
-    member: key, doc_id, comp, home. A block holds rows up to a weight of ``most``.
+    member: key, doc_id, comp, home. A block holds rows up to a weight of
+    ``most``. Pairs are named first and dealt out by block, so the pairs of one
+    large bucket are the work of many tasks.
     """
     before = F.sum("weight").over(Window.partitionBy("key", "inside").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
     rows = member.withColumn("inside", F.col("comp") == F.col("home")).withColumn("weight", weight)
     blocks = rows.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / most)).groupBy("key", "inside", "block").agg(F.collect_list(F.struct("doc_id", "comp", F.col(load).alias("load"))).alias("rows"))
+    blocks = stash(blocks, "blocks")
+    names = blocks.select("key", "inside", "block")
+    pairs = names.where("not inside").select("key", F.col("block").alias("n")).join(names, "key").where("inside or block >= n")
     left = blocks.where("not inside").select("key", F.col("block").alias("n"), F.col("rows").alias("left"))
     right = blocks.select("key", "inside", "block", F.col("rows").alias("right"))
-    return left.join(right, "key").where("inside or block >= n").select("key", "left", "right")
+    return pairs.join(left, ["key", "n"]).join(right, ["key", "inside", "block"]).select("key", "left", "right"), blocks
 
 
 def _rest(keys: DataFrame, comps: DataFrame, signed_docs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -241,18 +261,45 @@ def _rest(keys: DataFrame, comps: DataFrame, signed_docs: DataFrame, texts: Data
     home = member.groupBy("key").agg(F.min(F.when(F.col("doc_id") == F.col("pivot"), F.col("comp"))).alias("home"), F.min(F.when(F.col("doc_id") != F.col("pivot"), F.col("comp"))).alias("lo"), F.max(F.when(F.col("doc_id") != F.col("pivot"), F.col("comp"))).alias("hi")).where("lo <> hi").select("key", "home")
     member = member.where("doc_id <> pivot").select("key", "doc_id", "comp").join(home, "key")
     loaded = member.join(signed_docs.select("doc_id", "sig"), "doc_id")
-    some = _blocks(loaded, F.lit(1), BLOCK, "sig").mapInArrow(_partnered, "key long, doc_id long").distinct()
-    some = stash(some.join(member, ["key", "doc_id"]), "partnered")
+    pairs, blocks = _blocks(loaded, F.lit(1), BLOCK, "sig")
+    some = stash(pairs.mapInArrow(_partnered, "key long, doc_id long").distinct().join(member, ["key", "doc_id"]), "partnered")
+    drop(blocks)
     wanted = some.select("doc_id").distinct()
     texts = stash(named(texts, wanted), "texts")
     loaded = some.join(texts, "doc_id").join(signed_docs.select("doc_id", "n_shingles"), "doc_id")
     weight = F.greatest(F.col("n_shingles"), F.lit(BLOCK_SHINGLES // BLOCK))
-    links = stash(_blocks(loaded, weight, BLOCK_SHINGLES, "text").select("left", "right").mapInArrow(_linked(k, percent), "a long, b long"), "links")
-    drop(some)
-    drop(texts)
+    pairs, blocks = _blocks(loaded, weight, BLOCK_SHINGLES, "text")
+    links = stash(pairs.select("left", "right").mapInArrow(_linked(k, percent), "a long, b long"), "links")
+    drop(blocks, some, texts)
     return links
 
 
+def _numbered(rows: DataFrame, first: int) -> DataFrame:
+    """A table of rows with a column node: first, first + 1, ..., without bringing them together."""
+    held = stash(rows.withColumn("at", F.monotonically_increasing_id()), "rows")
+    part = F.shiftright("at", 33)
+    sizes = held.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    node = F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1) + first
+    out = stash(held.withColumn("part", part).join(F.broadcast(before), "part").withColumn("node", node).drop("at", "part", "before"), "others")
+    drop(held)
+    return out
+
+
+def _other_sets(docs: DataFrame, one: DataFrame, k: int) -> DataFrame | None:
+    """Of ids whose rows have different sets: each set but the largest under a number of its own, beyond all ids, with a text; None if there are none."""
+    twice = stash(one.where(F.struct(*SET) != F.col("least")).select("doc_id"), "twice")
+    if twice.isEmpty():
+        drop(twice)
+        return None
+    rows = named(docs, twice).mapInArrow(_sign(k, True), f"{_SIGNED}, text string").where("n_shingles > 0")
+    rows = rows.groupBy("doc_id", *SET).agg(F.min("sig").alias("sig"), F.min("text").alias("text"))
+    top = one.agg(F.max("doc_id")).first()[0]
+    found = _numbered(rows.join(one.select("doc_id", *SET, F.lit(True).alias("main")), ["doc_id", *SET], "left"), top + 1)
+    drop(twice)
+    return found
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose sets of k-word shingles have a Jaccard similarity of percent / 100 or more.
 
@@ -260,35 +307,49 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     are never paired. Within an index bucket every member is first compared
     with one pivot only, the member that shares most buckets with others;
     members that end in one component need no more, and what is left is
-    compared in blocks, on whole sets. No bucket is cut or capped.
+    compared in blocks, on whole sets. No bucket is cut or capped. A link is
+    confirmed on the words themselves; classes are told by 128 bits of keyed
+    hashes of them.
 
     Returns doc_id, n_shingles, component_id, kept for each distinct doc_id.
     Null or wordless text: an empty set, linked with nothing. Null doc_id: not
-    a document, left out. Rows that share a doc_id count as one document with
-    the least text. Other columns are not read.
+    a document, left out. Rows that share a doc_id are one document, linked
+    with all that any of its rows is linked with; n_shingles is that of its
+    largest set. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    every = stash(docs.mapInArrow(_sign(k), "doc_id long, n_shingles long, f1 long, f2 long, sig binary"), "signed")
-    one = every.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "f1", "f2", "sig")).alias("x")).select("doc_id", "x.*")
-    full = one.where("n_shingles > 0")
-    reps = stash(full.groupBy("n_shingles", "f1", "f2").agg(F.min(F.struct("doc_id", "sig")).alias("x")).select("n_shingles", "f1", "f2", "x.*"), "reps")
+    every = stash(docs.mapInArrow(_sign(k), _SIGNED), "signed")
+    one = every.groupBy("doc_id").agg(F.max(F.struct(*SET, "sig")).alias("x"), F.min(F.struct(*SET)).alias("least")).select("doc_id", "x.*", "least")
+    others, texts = _other_sets(docs, one, k), docs
+    full = one.where("n_shingles > 0").select(*SIGNED)
+    if others:
+        node = F.when(F.col("main"), F.col("doc_id")).otherwise(F.col("node")).alias("doc_id")
+        full = full.union(others.where("main is null").select(F.col("node").alias("doc_id"), *SIGNED[1:]))
+        texts = unnamed(docs, others.select("doc_id")).union(others.select(node, "text"))
+    reps = stash(full.groupBy(*SET).agg(F.min(F.struct("doc_id", "sig")).alias("x")).select(*SET, "x.*"), "reps")
     keys = reps.select("doc_id", "sig").mapInArrow(_index, "key long, doc_id long")
     beside = Window.partitionBy("key").orderBy("doc_id")
-    keys = stash(keys.withColumn("other", F.coalesce(F.lag("doc_id").over(beside), F.lead("doc_id").over(beside))).where("other is not null").select("key", "doc_id"), "shared")
-    met = keys.join(keys.groupBy("key").count(), "key").groupBy("doc_id").agg(F.sum("count").alias("met"))
+    shared = stash(keys.withColumn("other", F.coalesce(F.lag("doc_id").over(beside), F.lead("doc_id").over(beside))).where("other is not null").select("key", "doc_id"), "shared")
+    met = shared.join(shared.groupBy("key").count(), "key").groupBy("doc_id").agg(F.sum("count").alias("met"))
     pivot = F.first("doc_id").over(Window.partitionBy("key").orderBy(F.desc("met"), "doc_id"))
-    keys = stash(keys.join(met, "doc_id").select("key", "doc_id", pivot.alias("pivot")), "keys")
+    keys = stash(shared.join(met, "doc_id").select("key", "doc_id", pivot.alias("pivot")), "keys")
+    drop(shared)
     first = keys.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
-    texts = docs.select("doc_id", "text")
-    links = _confirmed(first, reps, texts, k, percent)
-    comps = components(links)
+    first_links = _confirmed(first, reps, texts, k, percent)
+    comps = components(first_links)
     more = _rest(keys, comps, reps, texts, k, percent)
-    comps = components(links.union(more))
-    drop(keys)
-    classes = reps.join(comps, "doc_id", "left").select("n_shingles", "f1", "f2", F.coalesce("comp", "doc_id").alias("component_id"))
+    links = first_links.union(more)
+    if others:
+        of = reps.select(*SET, F.col("doc_id").alias("b"))
+        main = one.select("doc_id", *SET).join(of.withColumnRenamed("b", "a"), SET).select("doc_id", "a")
+        links = links.union(others.where("main is null").join(of, SET).join(main, "doc_id").select("a", "b"))
+    drop(comps)
+    comps = components(links)
+    drop(keys, first_links, more)
+    classes = reps.join(comps, "doc_id", "left").select(*SET, F.coalesce("comp", "doc_id").alias("component_id"))
     return (
-        one.select("doc_id", "n_shingles", "f1", "f2")
-        .join(classes, ["n_shingles", "f1", "f2"], "left")
+        one.select("doc_id", *SET)
+        .join(classes, SET, "left")
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id") == F.col("component_id"))
     )

@@ -160,12 +160,11 @@ def _candidates(window: int, bits: int, shared):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for i, _, words in documents(batch.column("text")):
-                wh = words.hashes()
-                h, doc, start = words.shingles(window, wh)
+                h, doc, start = words.shingles(window, words.hashes())
                 at = maybe(h, table)
                 if not len(at):
                     continue
-                other = words.shingles(window, wh, "other")[0][at]
+                other = words.shingles(window, words.hashes(1))[0][at]
                 held.append((h[at], (other >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[i + doc[at]], start[at]))
                 n += len(at)
                 if n >= FLUSH_REPEATED:
@@ -211,7 +210,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, bits: int | None = None)
     First pass: each task counts its windows in sparse count-min rows, which
     are merged by shard. An estimate is never too small, so a window estimated
     once is unique. Second pass: only windows estimated at twice or more are
-    grouped, by 96 bits of hash. The broadcast sketch has at most
+    grouped, by 96 bits of keyed hashes of their words. The broadcast sketch has at most
     2 * 2**29 bits (128 MB); where the corpus outgrows it more windows go to
     the exact pass, and the result is the same.
 

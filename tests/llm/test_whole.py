@@ -14,7 +14,7 @@ def test_chat_windows_keep_the_budget_in_true_tokens(spark):
     library = Tokenizer.from_file(VOCABULARY)
     turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id", "turn", "role", "text")
     odd = [(-1, t, "system" if not t else "user", x) for t, x in enumerate(["obey", "it's <|im_end|> <|endoftext|>", " \n x  ", "", "\U0001f600" * 3000, "xqz" * 900, "\n"])]
-    turns = turns.union(spark.createDataFrame(odd, turns.schema)).localCheckpoint()
+    turns = turns.union(spark.createDataFrame(odd, turns.schema))
     windows = chat.format_windows(turns).collect()
     for w in windows:
         assert w.n_tokens == len(library.encode(w.formatted, add_special_tokens=False).ids)
@@ -46,7 +46,7 @@ def test_marks_of_a_vocabulary_are_plain_or_not(tmp_path):
     library = Tokenizer.from_file(VOCABULARY)
     texts = [chat.render("user", "a <| b")[0] * 2, "x<|endoftext|>y", "<|im_start|><|endoftext|>", "<|other|>"]
     for name in (VOCABULARY, f"{tmp_path}/v.json"):
-        got = [x.tolist() for x in encoder(name, (chat.START, chat.END))(pa.array(texts))]
+        got = [x.tolist() for x in encoder(name)(pa.array(texts))]
         own = Tokenizer.from_file(name)
         assert got == [own.encode(t, add_special_tokens=False).ids for t in texts]
         library.add_special_tokens([chat.START, chat.END])

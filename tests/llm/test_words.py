@@ -16,6 +16,7 @@ from inkveil.llm import neardup
 from inkveil.llm.components import components
 from inkveil.llm.neardup import near_duplicates
 from inkveil.llm.packing import pack, reduce_and_fit
+from inkveil.llm.shingle import Words, flat, keys
 from inkveil.llm.substring import dedup_substrings
 from inkveil.llm.tokens import encoder
 
@@ -121,6 +122,51 @@ def chain():
     return rows
 
 
+def opposites(n):
+    """Two words of n letters that have the same polynomial hash modulo a power of two, whatever its odd base (Thue-Morse)."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_polynomials_confuse(spark, n):
+    x, y = opposites(n)
+    tail = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{x} {tail}"), (2, f"{y} {tail}"), (3, f"{x} u v"), (4, f"{y} u v"), (5, f"{x} u v w"), (6, f"{y} u v w")]
+    got = dedup_substrings(frame(spark, rows)).drop("kept_text").collect()
+    assert sorted(map(tuple, got), key=str) == brute_substring(rows, 20)
+    assert sorted(map(tuple, near_duplicates(frame(spark, rows), 4).collect())) == brute_near(rows, 4, 80)
+    texts = [t for _, t in rows]
+    want = [e.ids for e in Tokenizer.from_file(TOKENIZER).encode_batch(texts, add_special_tokens=False)]
+    assert [z.tolist() for z in encoder(TOKENIZER)(pa.array(texts))] == want
+
+
+def test_numbers_and_keys_stand_for_words():
+    rng = random.Random(4)
+    for _ in range(60):
+        texts = [" ".join(rng.choice(["a", "b", "A", "é", "dd", "x" * 17]) for _ in range(rng.randrange(12))) for _ in range(4)]
+        for k in (1, 2, 3, 5):
+            numbers = Words(*flat(pa.array(texts)), lower=True).numbered(k)
+            want = sets(list(enumerate(texts)), k)
+            for i, j in combinations(range(4), 2):
+                assert len(np.intersect1d(numbers[i], numbers[j])) == len(want[i] & want[j])
+    words = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 19))) for _ in range(20_000)] + [b"a\0", b"a\0\0", b"\0"]
+    words = list(dict.fromkeys(words))
+    key, exact = keys(pa.array(words, pa.large_binary()))
+    assert len({tuple(x) for x in key.tolist()}) == len(words)
+    assert exact.tolist() == [len(w) <= 16 and b"\0" not in w for w in words]
+
+
+def test_near_rows_of_one_id_with_other_texts(spark):
+    """Any row of an id links it: 1 and 2 by the shorter text of 1, 2 and 9 by the longer one of 2; 7 and 8 by rows that are neither's main text."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 9), ("b", 30), ("c", 20), ("d", 8)))
+    rows = [(1, a), (1, b), (2, a), (2, c), (9, c), (7, d), (7, c.upper() + " z"), (8, d), (8, " ".join(f"e{i}" for i in range(40))), (5, None), (5, "")]
+    got = sorted(map(tuple, near_duplicates(frame(spark, rows), 4).collect()))
+    assert got == [(1, 27, 1, True), (2, 17, 1, False), (5, 0, 5, True), (7, 18, 1, False), (8, 37, 1, False), (9, 17, 1, False)]
+    alone = [(7, d), (7, b), (8, d), (8, " ".join(f"e{i}" for i in range(40)))]
+    assert [r.component_id for r in near_duplicates(frame(spark, alone), 4).collect()] == [7, 7]
+
+
 def test_near_edges(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
     got = near_duplicates(frame(spark, [(1, "a b c"), (1, "a b c"), (2, "A b c"), (None, "a b c")])).collect()
@@ -134,7 +180,10 @@ def test_components(spark):
 
 
 def test_encoder_equals_library():
-    texts = [t or "" for _, t in corpus()] + ["it's", " a", "  a\n\n b ", "1a2 !!x", "<|endoftext|> z", "\U0001f600 k", "　x  y"]
+    rng = random.Random(6)
+    bits = ["'", "s", "t", "re", "ve", "ll", "d", " ", "\n", "é", "1", "!", "\U0001f600", "<|", "x"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(20))) for _ in range(3000)]
+    texts += [t or "" for _, t in corpus()] + ["it's", " a", "  a\n\n b ", "1a2 !!x", "<|endoftext|> z", "\U0001f600 k", "　x  y"]
     want = [e.ids for e in Tokenizer.from_file(TOKENIZER).encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in encoder(TOKENIZER)(pa.array(texts))] == want
 
