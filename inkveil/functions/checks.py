@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,7 +30,15 @@ def aba(x: Column) -> Column:
     return (F.length(d) == 9) & (total % 10 == 0) & (total > 0)
 
 
-CHECKS = {"luhn": luhn, "aba": aba}
+#: Validators by name. A caller's own is added with :func:`validator`.
+CHECKS: dict[str, Callable[[Column], Column]] = {"luhn": luhn, "aba": aba}
+
+
+def validator(name: str, check: Callable[[Column], Column]) -> None:
+    """Name a check for patterns: a function from the match, a Column, to whether it stands."""
+    if name in CHECKS and CHECKS[name] is not check:
+        raise ValueError(f"there is a validator {name}")
+    CHECKS[name] = check
 
 
 def squeeze(x: Column) -> Column:
@@ -85,3 +95,36 @@ def decode(content: Column) -> Column:
 def rectangle(box: Column, width: Column, height: Column) -> Column:
     """A normalised box (x, y, w, h; origin bottom left) as page corners from the top left."""
     return F.struct((box.x * width).alias("x0"), ((1 - box.y - box.h) * height).alias("y0"), ((box.x + box.w) * width).alias("x1"), ((1 - box.y) * height).alias("y1"))
+
+
+def latin1_losses(x: Column) -> Column:
+    """How many characters :func:`latin1` replaces by a question mark."""
+    return F.regexp_count(x, F.lit(r"[^\x{0}-\x{ff}]"))
+
+
+def decode_note(content: Column) -> Column:
+    """What a report says of a text that is no valid UTF-8; null where it is."""
+    return F.when(~F.is_valid_utf8(content.cast("string")), F.lit("not UTF-8; read as latin-1"))
+
+
+#: Fixed value: characters that a sheet's title can have.
+TITLE = 31
+
+
+def sheet_title(redacted: Column, ordinal: Column) -> Column:
+    """A redacted sheet title as a workbook can hold it; Sheet_n where nothing usable is left."""
+    cut = F.substring(redacted, 1, TITLE)
+    return F.when((F.trim(cut) == "") | cut.rlike(r"[\[\]:*?/\\]") | cut.isNull(), F.concat(F.lit("Sheet_"), ordinal.cast("string"))).otherwise(cut)
+
+
+def wrap(x: Column, width: int) -> Column:
+    """Lines of at most ``width`` characters, words kept whole where they fit, longer ones on a line of their own."""
+    words = F.filter(F.split(squeeze(x), " "), lambda w: w != "")
+
+    def add(lines: Column, w: Column) -> Column:
+        last = F.element_at(lines, -1)
+        fits = F.size(lines) > 0
+        joined = F.concat(last, F.lit(" "), w)
+        return F.when(fits & (F.length(joined) <= width), F.concat(F.slice(lines, 1, F.size(lines) - 1), F.array(joined))).otherwise(F.concat(lines, F.array(w)))
+
+    return F.aggregate(words, F.array().cast("array<string>"), add)

@@ -1,12 +1,13 @@
-"""Batches: exit codes, attachments, reports, and the gate before outputs are combined."""
+"""Batches: exit codes, attachments, and the gate before outputs are combined."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.catalogue import LABELS, SEVERITY
-from ..functions.checks import mask
+from ..functions.catalogue import SEVERITY
+from ..functions.checks import safe_name
+from ..sources.containers import messages
 
 #: Attachments taken from a message, bytes of each, and levels of messages in messages.
 MAX_ATTACHMENTS, MAX_BYTES, MAX_DEPTH = 50, 100 * 1024 * 1024, 2
@@ -21,9 +22,14 @@ def worst(parts: DataFrame, key: str) -> DataFrame:
     return parts.groupBy(key).agg(F.max_by("exit_code", severity(F.col("exit_code"))).alias("exit_code"))
 
 
-def buckets(outcomes: DataFrame, name: str) -> DataFrame:
-    """Number and names of files by exit code."""
-    return outcomes.groupBy("exit_code").agg(F.count(F.lit(1)).alias("n_files"), F.array_sort(F.collect_list(name)).alias("names")).orderBy("exit_code")
+def buckets(outcomes: DataFrame) -> DataFrame:
+    """Number of files by exit code. Their names are :func:`names`, a row each, as they may be many."""
+    return outcomes.groupBy("exit_code").agg(F.count(F.lit(1)).alias("n_files")).orderBy("exit_code")
+
+
+def names(outcomes: DataFrame, name: str) -> DataFrame:
+    """Files in order of exit code and name."""
+    return outcomes.select("exit_code", F.col(name).alias("name")).orderBy("exit_code", "name")
 
 
 def attachments(messages: DataFrame, key: str) -> DataFrame:
@@ -33,13 +39,26 @@ def attachments(messages: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("skip", why)
 
 
-def levels(messages: DataFrame, key: str, read) -> DataFrame:
-    """Messages, then messages attached to them, to MAX_DEPTH. read: attachments to messages."""
-    out = level = messages.withColumn("depth", F.lit(0))
-    for depth in range(1, MAX_DEPTH + 1):
-        level = read(attachments(level, key).where("skip is null")).withColumn("depth", F.lit(depth))
-        out = out.unionByName(level, allowMissingColumns=True)
-    return out
+def attached_files(mails: DataFrame) -> DataFrame:
+    """Files attached to mails (path, name, content) and to mails attached to them, to MAX_DEPTH, as files that can be scanned.
+
+    Returns path, name (the mail's stem, att, the ordinal from 1 and a safe
+    name), length, content, depth, skip. What is skipped, is too deep or is
+    the error of a broken mail has no content and a reason.
+    """
+    out, level = None, mails.select("path", "name", "content")
+    for depth in range(MAX_DEPTH + 1):
+        read = messages(level).join(level.select("path", F.regexp_replace("name", r"\.[^.]*$", "").alias("stem")), "path")
+        broken = read.where("error is not null").select("path", F.concat("stem", F.lit(".eml")).alias("name"), F.lit(None).cast("binary").alias("content"), F.col("error").alias("skip"))
+        parts = attachments(read.withColumn("key", F.struct("path", "stem")), "key").select("key.*", "ord", "name", "blob", "skip")
+        safe = F.concat(F.col("stem"), F.lit("_att"), (F.col("ord") + 1).cast("string"), F.lit("_"), safe_name(F.col("name"), F.col("ord") + 1))
+        nested = F.lower("name").endswith(".eml") & F.lit(depth == MAX_DEPTH)
+        why = F.coalesce("skip", F.when(nested, F.lit(f"mails are opened to {MAX_DEPTH} levels")))
+        parts = parts.select(F.concat("path", F.lit("/"), safe).alias("path"), safe.alias("name"), F.when(why.isNull(), F.col("blob")).alias("content"), why.alias("skip"))
+        found = parts.unionByName(broken).withColumn("depth", F.lit(depth))
+        out = found if out is None else out.unionByName(found)
+        level = parts.where(F.col("skip").isNull() & F.lower("name").endswith(".eml")).select("path", "name", "content")
+    return out.select("path", "name", F.length("content").cast("long").alias("length"), "content", "depth", "skip")
 
 
 def gate(outputs: DataFrame, reports: DataFrame, key: str) -> DataFrame:
@@ -59,29 +78,3 @@ def page_ranges(files: DataFrame, group: str, name: str, pages: str) -> DataFram
 def flagged_pages(image_pages, barcode_pages):
     """Pages with images but no barcode found: for a person to look at."""
     return F.array_except(image_pages, barcode_pages)
-
-
-def report(redacted: DataFrame, remaining: DataFrame, key: str, dry_run: bool = False) -> DataFrame:
-    """One row a file: report text. Matches are masked unless it is a dry run, which verifies nothing."""
-    label = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
-    named = lambda c: F.coalesce(F.element_at(label, c), c)
-    by = F.explode_outer("hits").alias("h")
-    counted = redacted.select(key, by).groupBy(key, F.col("h.category").alias("c")).agg(F.sum("h.n").alias("n")).where("c is not null")
-    counted = counted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("counts"))
-    left = remaining.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("category", "remaining"))).alias("left"))
-    shown = (lambda x: x) if dry_run else mask
-    detail = F.transform("hits", lambda h: F.format_string("  line %-9d %-28s %s", h.line, named(h.category), shown(h.matched)))
-    wide = redacted.select(key, detail.alias("detail")).join(counted, key, "left").join(left, key, "left")
-    bar, rule = F.lit("=" * 70), F.lit("-" * 70)
-    none = F.array(F.lit("  (none)"))
-    verdict = F.array(F.lit("  Skipped (dry run).")) if dry_run else F.when(F.col("left").isNull(), F.array(F.lit("  PASS"))).otherwise(F.concat(F.array(F.lit("  *** FAIL ***")), F.transform("left", lambda x: F.format_string("    %s: %d", named(x.category), x.remaining))))
-    lines = F.concat(
-        F.array(bar, F.lit("REDACTION REPORT"), bar, F.lit("MATCHES BY CATEGORY"), rule),
-        F.coalesce(F.transform("counts", lambda x: F.format_string("  %-32s %4d match(es)", named(x.c), x.n)), none),
-        F.array(F.lit("DETAIL"), rule),
-        F.when(F.size("detail") > 0, F.col("detail")).otherwise(none),
-        F.array(F.lit("POST-REDACTION VERIFICATION"), rule),
-        verdict,
-        F.array(bar),
-    )
-    return wide.select(key, F.array_join(lines, "\n").alias("report"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,17 +42,22 @@ def matches(text: Column, config: Config) -> Column:
     """
     none = F.array().cast(MATCHES)
 
-    def of(p: Pattern, texts: Column) -> Column:
+    def of(p: Pattern, texts: Column, low: Column) -> Column:
         found = F.flatten(F.transform(texts, lambda t: hits(t, p)))
-        return F.transform(found, lambda x: F.struct(F.lit(p.category).alias("category"), x.alias("matched")))
+        found = F.transform(found, lambda x: F.struct(F.lit(p.category).alias("category"), x.alias("matched")))
+        signs = [F.contains(low, F.lit(s)) for s in p.signs]
+        return F.when(reduce(Column.__or__, signs), found).otherwise(none) if signs else found
 
-    def scan(texts: Column) -> Column:
-        every = F.array_distinct(F.concat(*[of(p, texts) for p in config.patterns])) if config.patterns else none
+    def scan(x: Column) -> Column:
+        every = F.array_distinct(F.concat(*[of(p, x.texts, x.low) for p in config.patterns])) if config.patterns else none
         if config.exclude:
             every = F.filter(every, lambda x: ~F.greatest(*[F.contains(F.lower(x.matched), F.lit(t)) for t in config.exclude], F.lit(False)))
         return longest_first(every)
 
-    found = F.element_at(F.transform(F.array(F.array_distinct(F.array(text, squeeze(text)))), scan), 1)
+    # Letters that ignoring case makes equal to plain ones, but lower() does not.
+    low = F.lower(F.translate(text, "ſıİK", "siIk"))
+    once = F.struct(F.array_distinct(F.array(text, squeeze(text))).alias("texts"), low.alias("low"))
+    found = F.element_at(F.transform(F.array(once), scan), 1)
     custom = any(p.category == "custom" for p in config.patterns)
     worth = text.isNotNull() if custom else F.coalesce(text.rlike(r"(?U)[\d@]"), F.lit(False))
     return F.when(worth, found).otherwise(none)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.catalogue import PATTERNS, PRESETS, Pattern
-from ..functions.checks import latin1, mask
+from ..functions.catalogue import PATTERNS, PRESETS
+from ..functions.checks import latin1, latin1_losses, mask, sheet_title
 from ..functions.config import Config, resolve
-from ..operators import batch, markup, tabular
+from ..operators import batch, markup, pages, reports, tabular
 from ..operators.detect import counts, detect, distinct_counts, hits, matches, outcomes, redact, verify
+from ..sinks import files as sinks
+from ..sources import containers, files
+from .oracle import PRESET_ROWS, found, replaced, scanned, stands
 
 Query = Callable[[SparkSession, str], DataFrame]
 BY_KEY = {p.key: p for p in PATTERNS}
@@ -43,12 +48,44 @@ SYNTHETIC = {
 }
 
 
+#: Near misses: the same shapes with a digit too few, a wrong checksum or another label. No detector of the key finds them.
+MISSES = {
+    "ssn": "concat('id 123-456-', lpad(cast(n as varchar(20)), 7, '0'), ' end')",
+    "ssn_labelled": "concat('SSN: ', substr(lpad(cast(n as varchar(20)), 9, '0'), 1, 8), ' and no more')",
+    "ein": "concat('firm 1-', lpad(cast(n as varchar(20)), 7, '0'), ' pays')",
+    "tax_labelled": "concat('Taxpayer #', lpad(cast(n as varchar(20)), 9, '0'))",
+    "account_labelled": "concat('Accounts: ', cast(n % 1000 as varchar(20)), ' open')",
+    "account_masked": "concat('card X-', lpad(cast(n % 10000 as varchar(20)), 4, '0'))",
+    "account_bare": "concat('costs $', lpad(cast(n as varchar(20)), 10, '7'), ' or 1.', lpad(cast(n as varchar(20)), 9, '3'))",
+    "card_16": "concat('paid 4111-1111-1111-', cast(n % 9 as varchar(20)), '111 or 4111 1111 1111 111')",
+    "card_15": "concat('paid 3782 822463 ', lpad(cast(n % 1000 as varchar(20)), 4, '0'))",
+    "routing_labelled": "concat('ABA no: ', substr(lpad(cast(n as varchar(20)), 9, '0'), 1, 8), ' here')",
+    "routing_bare": "concat('via ', lpad(cast(n as varchar(20)), 8, '0'), ' or 000000000 wire')",
+    "mrn": "concat('MRN: see page ', cast(n as varchar(20)))",
+    "insurance": "concat('Member since ', cast(1990 + n % 30 as varchar(20)))",
+    "insurance_public": "concat('Medicare pays ', cast(n % 100 as varchar(20)), ' percent')",
+    "licence": "concat('Driver of bus ', cast(n as varchar(20)))",
+    "passport": "concat('Passport photos: ', cast(n % 90 as varchar(20)))",
+    "dob": "concat('Borne on ', cast(n % 28 + 1 as varchar(20)), '/1/1980')",
+    "street": "concat('item ', cast(n as varchar(20)), ' maple grove avenue')",
+    "city": "concat('in springfield, IL ', lpad(cast(n as varchar(20)), 5, '6'))",
+    "po_box": "concat('to Box ', cast(n as varchar(20)))",
+    "case": "concat('in case 24-CV-', lpad(cast(n as varchar(20)), 5, '0'))",
+    "email": "concat('write user', cast(n as varchar(20)), '@example or @example.com')",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def said(key: str) -> str:
+    """SQL of a customer's text for a detector: a near miss for every third."""
+    return f"case when n % 3 = 0 then {MISSES[key]} else {SYNTHETIC[key]} end"
+
+
 def _synthetic(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("n")).select("n", F.expr(SYNTHETIC[key]).alias("text"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("n")).select("n", F.expr(said(key)).alias("text"))
 
 
 def _detector(key: str) -> Query:
@@ -56,46 +93,11 @@ def _detector(key: str) -> Query:
     return lambda spark, d: _synthetic(spark, d, key).select("n", F.explode(hits(F.col("text"), BY_KEY[key])).alias("matched"))
 
 
-def _valid_sql(p: Pattern) -> str:
-    digits = "regexp_replace(matched, '[^0-9]', '', 'g')"
-    out = ["length(matched) > 0"]
-    if p.digits:
-        out.append(f"length({digits}) >= {p.digits}")
-    if p.check == "luhn":
-        out.append(f"length({digits}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN (length({digits}) - i) % 2 = 0 THEN {digits}[i]::INT ELSE ({digits}[i]::INT * 2) // 10 + ({digits}[i]::INT * 2) % 10 END)) % 10 = 0")
-    if p.check == "aba":
-        total = " + ".join(f"{(3, 7, 1)[i % 3]} * {digits}[{i + 1}]::INT" for i in range(9))
-        out.append(f"length({digits}) = 9 AND ({total}) % 10 = 0 AND ({total}) > 0")
-    return " AND ".join(out)
-
-
-def _quoted(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-#: Without look-around: tokens of digits, of which whole ones of 8 to 17 digits count.
-_BARE_SQL = r"list_filter(regexp_extract_all({t}, '[.,$\-]?\d+(?:[.,]\d+)*'), lambda x: regexp_full_match(x, '\d{{8,17}}'))"
+def _detector_sql(key: str) -> str:
+    return f"WITH s AS (SELECT c_custkey AS n FROM customer), t AS (SELECT n, {said(key)} AS text FROM s), m AS (SELECT n, trim(unnest({found(key, 'text')})) AS matched FROM t) SELECT n, matched FROM m WHERE {stands(key)}"
 
 
-def _detector_sql(key: str) -> str:
-    p = BY_KEY[key]
-    found = _BARE_SQL.format(t="text") if key == "account_bare" else f"regexp_extract_all(text, {_quoted(p.re2)}, {p.group})"
-    return f"WITH s AS (SELECT c_custkey AS n FROM customer), t AS (SELECT n, {SYNTHETIC[key]} AS text FROM s), m AS (SELECT n, trim(unnest({found})) AS matched FROM t) SELECT n, matched FROM m WHERE {_valid_sql(p)}"
-
-
-#: Three detectors that free text has hits of; the oracle needs no look-around for them.
-_EMAIL_SQL = f"regexp_extract_all(text, {_quoted(BY_KEY['email'].re2)})"
-_ACCOUNT_SQL = _BARE_SQL.format(t="text")
-_FREE = Config("general", (BY_KEY["email"], BY_KEY["account_bare"]))
-_FOUND_SQL = f"""
-t AS (SELECT doc_id, text, trim(regexp_replace(text, '[\\s\\x0b]+', ' ', 'g')) AS norm FROM documents),
-u AS (SELECT doc_id, text, text AS src FROM t UNION ALL SELECT doc_id, text, norm AS src FROM t),
-m AS (SELECT DISTINCT doc_id, 'email' AS category, unnest(regexp_extract_all(src, {_quoted(BY_KEY['email'].re2)})) AS matched FROM u
-      UNION SELECT DISTINCT doc_id, 'account_number' AS category, unnest({_BARE_SQL.format(t='src')}) AS matched FROM u)"""
-_REDACTED_SQL = f"""
-{_FOUND_SQL},
-o AS (SELECT doc_id, list(matched ORDER BY length(matched) DESC, matched) AS ms FROM m GROUP BY doc_id),
-r AS (SELECT t.doc_id, t.text, CASE WHEN o.ms IS NULL THEN t.text ELSE list_reduce(o.ms, lambda acc, x: replace(acc, x, repeat('█', least(length(x), 12))), t.text) END AS redacted FROM t LEFT JOIN o USING (doc_id))"""
+_ALL = resolve()
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -103,13 +105,13 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def detect_counts_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct matches of the e-mail and bare account detectors over free text."""
-    return distinct_counts(detect(documents(spark, d), _FREE)).select("category", "n")
+    """Distinct matches of all detectors over free text, by category."""
+    return distinct_counts(detect(documents(spark, d), _ALL)).select("category", "n")
 
 
 def detect_all_documents(spark: SparkSession, d: str) -> DataFrame:
     """All 23 detectors over free text, each match once a document."""
-    return detect(documents(spark, d), resolve()).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.category", "m.matched")
+    return detect(documents(spark, d), _ALL).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.category", "m.matched")
 
 
 def email_by_lang(spark: SparkSession, d: str) -> DataFrame:
@@ -128,32 +130,37 @@ def account_bare_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def redact_documents(spark: SparkSession, d: str) -> DataFrame:
-    done = redact(documents(spark, d), _FREE)
-    return done.select("doc_id", F.md5("redacted").alias("redacted_md5"), F.length("redacted").cast("long").alias("n_chars"))
+    done = redact(documents(spark, d), _ALL)
+    return done.select("doc_id", F.md5("redacted").alias("redacted_md5"), F.length("redacted").cast("long").alias("n_chars"), F.size("hits").cast("long").alias("n_hits"))
 
 
-def redact_all_documents(spark: SparkSession, d: str) -> DataFrame:
-    done = redact(documents(spark, d), resolve())
-    return done.select("doc_id", "redacted", F.size("hits").alias("n_hits"))
+def redaction_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences replaced, by category, and rows of the batch's totals: n, categories that had any, characters read."""
+    return counts(redact(documents(spark, d), _ALL)).select("category", F.col("n").cast("long").alias("n"))
 
 
-def redaction_counts(spark: SparkSession, d: str) -> DataFrame:
-    return counts(redact(documents(spark, d), _FREE)).select("category", F.col("n").cast("long").alias("n"))
+def batch_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Of each source: units, matches replaced, categories that had any, characters of text, lines."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    done = redact(docs, _ALL)
+    by = counts(done, "source").groupBy("source").agg(F.sum("n").cast("long").alias("total"), F.count(F.lit(1)).alias("n_categories"))
+    read = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_units"), F.sum(F.length(F.trim(F.coalesce("text", F.lit(""))))).cast("long").alias("n_chars"))
+    return read.join(by, read["source"].eqNullSafe(by["source"]), "left").select(read["source"], "n_units", "n_chars", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("n_categories", F.lit(0)).alias("n_categories"))
 
 
 def verify_documents(spark: SparkSession, d: str) -> DataFrame:
     """One row: documents re-scanned, and those with anything left."""
-    done = redact(documents(spark, d), _FREE)
-    left = F.size(matches(F.col("redacted"), _FREE))
+    done = redact(documents(spark, d), _ALL)
+    left = F.size(matches(F.col("redacted"), _ALL))
     return done.select(left.alias("n")).agg(F.count(F.lit(1)).alias("n_scanned"), F.count_if(F.col("n") > 0).alias("n_failed"))
 
 
 def verify_remaining(spark: SparkSession, d: str) -> DataFrame:
-    return verify(redact(documents(spark, d), resolve()), resolve(), "doc_id")
+    return verify(redact(documents(spark, d), _ALL), _ALL, "doc_id")
 
 
 def outcomes_documents(spark: SparkSession, d: str) -> DataFrame:
-    return outcomes(documents(spark, d), _FREE, "doc_id")
+    return outcomes(documents(spark, d), _ALL, "doc_id")
 
 
 def mask_report(spark: SparkSession, d: str) -> DataFrame:
@@ -176,7 +183,8 @@ def tabular_vs_text_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.md5(markup.strip_tags(F.col("html"))).alias("text_md5"))
+    """Pages without scripts, styles and tags, entities decoded."""
+    return table(spark, d, "pages").select("page_id", F.md5(markup.to_text(F.col("html"))).alias("text_md5"))
 
 
 def attr_targets(spark: SparkSession, d: str) -> DataFrame:
@@ -210,7 +218,7 @@ def preset_counts(spark: SparkSession, d: str) -> DataFrame:
     return sets.join(by, "category").select("preset", "category", "n")
 
 
-_PRESET_KEYS = ("ssn", "ein", "mrn", "licence", "passport", "case", "email")
+_PRESET_KEYS = tuple(SYNTHETIC)
 
 
 def exit_code_severity(spark: SparkSession, d: str) -> DataFrame:
@@ -218,9 +226,112 @@ def exit_code_severity(spark: SparkSession, d: str) -> DataFrame:
     return batch.worst(parts, "user_id")
 
 
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "labels").select(F.concat(F.lit("file"), F.col("doc_id").cast("string")).alias("name"), F.when(F.col("toxic") == 1, 3).when(F.col("quality") == 0, 2).otherwise(0).alias("exit_code")).distinct()
+
+
 def batch_buckets(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "labels").select(F.concat(F.lit("file"), F.col("doc_id").cast("string")).alias("name"), F.when(F.col("toxic") == 1, 3).when(F.col("quality") == 0, 2).otherwise(0).alias("exit_code")).distinct()
-    return batch.buckets(files, "name").select("exit_code", "n_files")
+    return batch.buckets(_outcomes(spark, d))
+
+
+def batch_names(spark: SparkSession, d: str) -> DataFrame:
+    return batch.names(_outcomes(spark, d), "name")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """An empty folder that executors share, for files that a query writes and reads again."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    return f"{top}/inkveil-files/{name}-{uuid.uuid4().hex}"
+
+
+def _customer_cells(spark: SparkSession, d: str) -> DataFrame:
+    """A table for each nation: a header, and a line for each customer: key, name, number and address."""
+    rows = table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_name", F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("ssn"), F.expr("case when c_custkey % 5 = 0 then 'write user@example.com, \"now\"' else c_mktsegment end").alias("note"))
+    rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) + 1)
+    cells = F.array(*(F.struct(F.lit(i).alias("col"), F.col(c).cast("string").alias("text")) for i, c in enumerate(("c_custkey", "c_name", "ssn", "note"))))
+    body = rows.select("c_nationkey", "row", F.explode(cells).alias("c")).select("c_nationkey", "row", "c.col", "c.text")
+    heads = F.array(*(F.struct(F.lit(i).alias("col"), F.lit(h).alias("text")) for i, h in enumerate(("Key", "Name", "SSN", "Note"))))
+    heads = rows.select("c_nationkey").distinct().select("c_nationkey", F.lit(1).alias("row"), F.explode(heads).alias("c")).select("c_nationkey", "row", "c.col", "c.text")
+    return heads.union(body).withColumn("path", F.concat(F.lit("in/nation"), F.col("c_nationkey").cast("string"), F.lit(".csv")))
+
+
+def csv_written_and_read(spark: SparkSession, d: str) -> DataFrame:
+    """Redacted tables, a file a nation, written and read again: file, row, col, text."""
+    done = tabular.redact_cells(tabular.with_headers(_customer_cells(spark, d), "path"), _ALL).withColumn("error", F.lit(None).cast("string"))
+    folder = _folder(spark, "csv")
+    sinks.write_files(sinks.delimited_files(done), folder).count()
+    cells = files.delimited_cells(files.scan(spark, folder))
+    return cells.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "row", "col", "text")
+
+
+def workbooks_written_and_verified(spark: SparkSession, d: str) -> DataFrame:
+    """The same as workbooks: cells read again by file, and what the sink's own reader still finds in them."""
+    cells = _customer_cells(spark, d).withColumn("path", F.regexp_replace("path", "csv$", "xlsx")).withColumn("sheet", F.lit("customers"))
+    done = tabular.redact_cells(tabular.with_headers(cells, "path"), _ALL).withColumn("col", F.col("col") + 1)
+    folder = _folder(spark, "xlsx")
+    sinks.write_files(sinks.workbook_files(done, _ALL), folder).count()
+    name = F.regexp_extract("path", r"([^/]*)$", 1).alias("file")
+    read = containers.workbook_cells(files.scan(spark, folder)).select(name, "text")
+    left = sinks.verify_files(spark, folder, "excel", _ALL).select(name, "remaining").groupBy("file").agg(F.sum("remaining").cast("long").alias("remaining"))
+    read = read.groupBy("file").agg(F.count("text").alias("n_cells"), F.sum(F.length("text")).cast("long").alias("n_chars"), F.count_if(F.contains("text", F.lit("█"))).alias("n_redacted"))
+    return read.join(left, "file", "left").withColumn("remaining", F.coalesce("remaining", F.lit(0)))
+
+
+def reports_written_and_read(spark: SparkSession, d: str) -> DataFrame:
+    """A report for each document, and what it says: whether it failed, matches by category, lines of detail."""
+    done = redact(documents(spark, d), _ALL)
+    told = reports.native_report(done.withColumn("doc_id", F.col("doc_id").cast("string")), verify(done, _ALL, "doc_id").withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id")
+    total = F.aggregate(F.regexp_extract_all("report", F.lit(r"(\d+) match\(es\)"), F.lit(1)), F.lit(0).cast("long"), lambda s, n: s + n.cast("long"))
+    return told.select(F.col("doc_id").cast("long").alias("doc_id"), F.contains("report", F.lit(reports.FAIL)).alias("failed"), total.alias("total"), F.regexp_count("report", F.lit(r"(?m)^  \d+ {2,}\S")).cast("long").alias("n_details"))
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as files, turns as pages; every fourth has an image, and every eighth no text layer but what OCR reads."""
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("file_id"), (F.col("turn") + 1).cast("int").alias("page_no"), "role", "text", ((F.col("turn") + F.col("conv_id")) % 8).alias("k"))
+    text = F.concat_ws(" ", F.col("text"), F.concat(F.lit("case no "), F.col("file_id").cast("string"), F.lit("-2024 a@b.org a@b.org")))
+    return turns.select("file_id", "page_no", F.when(F.col("k") == 0, F.lit("")).otherwise(text).alias("text"), F.array(F.lit("mailto:x@y.org"), F.lit("http://y.org")).alias("links"), F.col("k").isin(0, 4).alias("has_images"), "role")
+
+
+def _read_pages(spark: SparkSession, d: str) -> DataFrame:
+    rows = _pages(spark, d)
+    found = rows.where("text = ''").select("file_id", "page_no", F.explode(F.array(F.struct(F.concat(F.lit("ssn 000-55-"), F.lpad(F.col("page_no").cast("string"), 4, "0")).alias("candidate"), F.lit(0.9).alias("confidence")), F.struct(F.lit("??").alias("candidate"), F.lit(0.4).alias("confidence")))).alias("c")).select("file_id", "page_no", "c.*").where("page_no % 2 = 1 or confidence < 0.5")
+    return pages.add_ocr(rows, found.where("page_no % 3 > 0"))
+
+
+def page_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Matches of pages by category: as many as they have places, links apart."""
+    rows = _read_pages(spark, d)
+    return pages.page_counts(pages.locate(rows, _ALL)).unionByName(pages.link_counts(rows, _ALL))
+
+
+def page_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of each file that are scanned, read by OCR, with images, and with no code found."""
+    rows = _read_pages(spark, d)
+    codes = rows.where("has_images and page_no % 2 = 0").select("file_id", "page_no", F.lit("barcode").alias("kind"))
+    out = pages.page_sets(rows, "file_id", codes)
+    text = lambda c: F.array_join(F.transform(c, lambda p: p.cast("string")), ",").alias(c)
+    flagged = batch.flagged_pages(F.col("image_pages"), F.col("barcode_pages"))
+    code = pages.exit_code(F.lit(0), F.col("scanned_pages"), F.col("total_text_chars"))
+    return out.select("file_id", "page_count", text("scanned_pages"), text("ocr_pages"), text("image_pages"), F.array_join(F.transform(flagged, lambda p: p.cast("string")), ",").alias("flagged_pages"), code.alias("exit_code"))
+
+
+def match_places(spark: SparkSession, d: str) -> DataFrame:
+    """E-mail addresses of documents with their first place and how many places they have."""
+    rows = documents(spark, d).withColumn("page_text", F.coalesce("text", F.lit("")))
+    found = pages.locate(rows, Config("general", (BY_KEY["email"],))).select("doc_id", F.explode("found").alias("m"))
+    return found.select("doc_id", "m.matched", F.get("m.places", F.lit(0)).alias("first_place"), F.size("m.places").cast("long").alias("n_places"))
+
+
+def best_candidate(spark: SparkSession, d: str) -> DataFrame:
+    """Of each user the event of the highest id, as the most certain reading."""
+    rows = table(spark, d, "events").select("user_id", F.col("event_type").alias("candidate"), F.col("event_id").alias("confidence"))
+    return pages.best_candidate(rows, "user_id")
+
+
+def sheet_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Names as sheet titles, redacted and cut, and characters that latin-1 loses."""
+    name = F.concat(F.col("p_name"), F.lit("█ of a long title"))
+    return table(spark, d, "part").select("p_partkey", sheet_title(name, F.col("p_partkey")).alias("title"), latin1_losses(name).cast("long").alias("n_lost"))
 
 
 def page_ranges(spark: SparkSession, d: str) -> DataFrame:
@@ -262,39 +373,63 @@ def _named(*fs) -> dict[str, Query]:
 
 def queries() -> dict[str, Query]:
     return {f"detector_{k}": _detector(k) for k in SYNTHETIC} | _named(
-        detect_counts_documents, detect_all_documents, email_by_lang, phone_docs, account_bare_pages, redact_documents, redact_all_documents, redaction_counts, verify_documents, verify_remaining, outcomes_documents, mask_report, header_context_scan, tabular_vs_text_counts, html_to_text, attr_targets, redact_html_pages, custom_terms, exclude_terms, preset_counts, exit_code_severity, batch_buckets, page_ranges, combine_gate, header_join, header_window, spine_manifest, sanitise_latin1
+        detect_counts_documents, detect_all_documents, email_by_lang, phone_docs, account_bare_pages, redact_documents, redaction_counts, batch_totals, verify_documents, verify_remaining, outcomes_documents, mask_report, header_context_scan, tabular_vs_text_counts, html_to_text, attr_targets, redact_html_pages, custom_terms, exclude_terms, preset_counts,
+        exit_code_severity, batch_buckets, batch_names, page_ranges, combine_gate, header_join, header_window, spine_manifest, sanitise_latin1, csv_written_and_read, workbooks_written_and_verified, reports_written_and_read, page_counts, page_sets, match_places, best_candidate, sheet_titles,
     )
 
 
 def oracle_sql() -> dict[str, str]:
-    email = _EMAIL_SQL
-    phone = r"(?:\+?1[\s.\-]?)?\(?\d{3}\)?[\s.\-]\d{3}[\s.\-]\d{4}"
-    presets = " UNION ALL ".join(f"SELECT {_quoted(p)} AS preset, {_quoted(c)} AS category" for p, cs in PRESETS.items() for c in cs)
-    found = " UNION ALL ".join(f"SELECT {_quoted(BY_KEY[k].category)} AS category FROM (SELECT DISTINCT n, trim(unnest(regexp_extract_all(text, {_quoted(BY_KEY[k].re2)}, {BY_KEY[k].group}))) AS matched FROM t) WHERE {_valid_sql(BY_KEY[k])}" for k in _PRESET_KEYS)
+    email = found("email", "text")
     cells = "SELECT conv_id AS file_id, (turn + 1)::INT AS row, role AS text FROM conversations"
     header = f"WITH c AS ({cells}), h AS (SELECT file_id, text AS header FROM c WHERE row = 1) SELECT c.file_id, c.row, c.text, CASE WHEN c.row > 1 THEN h.header END AS header FROM c LEFT JOIN h USING (file_id)"
+    docs = "d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
+    done = f"WITH {docs}, {replaced('d', 'doc_id', 'text')}"
+    again = f"{done}, {scanned('r', 'doc_id', 'redacted', name='left_over')}"
+    hit = "unnest(string_split(rtrim(hits, ';'), ';')) AS h"
+    outcome = "SELECT CASE WHEN toxic = 1 THEN 3 WHEN quality = 0 THEN 2 ELSE 0 END AS exit_code, 'file' || doc_id::VARCHAR AS name FROM labels"
+    customers = "c AS (SELECT c_nationkey AS k, c_custkey, c_name, lpad(c_custkey::VARCHAR, 9, '0') AS matched, CASE WHEN c_custkey % 5 = 0 THEN 'write user@example.com, \"now\"' ELSE c_mktsegment END AS note, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) + 1)::INT AS row FROM customer)"
+    written = f"""{customers}, body AS (SELECT k, row, unnest([0, 1, 2, 3]) AS col, unnest([c_custkey::VARCHAR, CASE WHEN {stands('routing_bare')} THEN replace(c_name, matched, repeat('█', 9)) ELSE c_name END, repeat('█', 9), replace(note, 'user@example.com', repeat('█', 12))]) AS text FROM c
+      UNION ALL SELECT k, 1, unnest([0, 1, 2, 3]), unnest(['Key', 'Name', 'SSN', 'Note']) FROM (SELECT DISTINCT k FROM c))"""
+    turns = """p AS (SELECT conv_id AS file_id, (turn + 1)::INT AS page_no, (turn + conv_id) % 8 AS k, concat_ws(' ', text, 'case no ' || conv_id::VARCHAR || '-2024 a@b.org a@b.org') AS own FROM conversations),
+      q AS (SELECT file_id, page_no, k, k IN (0, 4) AS has_images, k = 0 AND page_no % 3 > 0 AS ocr, CASE WHEN k > 0 THEN own WHEN page_no % 3 > 0 THEN CASE WHEN page_no % 2 = 1 THEN 'ssn 000-55-' || lpad(page_no::VARCHAR, 4, '0') ELSE '??' END ELSE '' END AS text, row_number() OVER () AS i FROM p)"""
+    count_of = "SELECT i, category, sum(greatest((length(text) - length(replace(text, matched, ''))) // length(matched), 1))::BIGINT AS n FROM m JOIN q USING (i) GROUP BY ALL"
+    joined = lambda what, name: f"coalesce(string_agg(page_no::VARCHAR, ',' ORDER BY page_no) FILTER ({what}), '') AS {name}"
+    text_of = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
     return {f"detector_{k}": _detector_sql(k) for k in SYNTHETIC} | {
-        "detect_counts_documents": f"WITH {_FOUND_SQL.strip()} SELECT category, count(*) AS n FROM m GROUP BY category",
+        "detect_counts_documents": f"WITH {docs}, {scanned('d', 'doc_id', 'text')} SELECT category, count(*) AS n FROM m GROUP BY category",
+        "detect_all_documents": f"WITH {docs}, {scanned('d', 'doc_id', 'text')} SELECT doc_id, category, matched FROM m",
         "email_by_lang": f"SELECT lang, sum(len({email}))::BIGINT AS n_emails, count(*) FILTER (len({email}) > 0) AS n_docs FROM documents GROUP BY lang",
-        "phone_docs": rf"SELECT doc_id, trim(regexp_extract(text, '(?:^[.\-]?|[^0-9.\-]|[^0-9][.\-])({phone})(?:[.\-]?[^0-9.\-]|[.\-]{{2}}|[.\-]?$)', 1)) AS first_phone FROM documents WHERE regexp_matches(text, '(?:^[.\-]?|[^0-9.\-]|[^0-9][.\-])({phone})(?:[.\-]?[^0-9.\-]|[.\-]{{2}}|[.\-]?$)')",
-        "account_bare_pages": f"SELECT page_id, unnest({_BARE_SQL.format(t='html')}) AS matched FROM pages",
-        "redact_documents": f"WITH {_REDACTED_SQL.strip()} SELECT doc_id, md5(redacted) AS redacted_md5, length(redacted)::BIGINT AS n_chars FROM r",
-        "redaction_counts": f"WITH {_FOUND_SQL.strip()} SELECT category, sum((length(t.text) - length(replace(t.text, matched, ''))) // length(matched))::BIGINT AS n FROM m JOIN t USING (doc_id) GROUP BY category",
-        "verify_documents": f"WITH {_REDACTED_SQL.strip()} SELECT count(*) AS n_scanned, count(*) FILTER (len(regexp_extract_all(redacted, {_quoted(BY_KEY['email'].re2)})) + len({_BARE_SQL.format(t='redacted')}) > 0) AS n_failed FROM r",
+        "phone_docs": f"SELECT doc_id, trim({found('phone', 'text')}[1]) AS first_phone FROM documents WHERE len({found('phone', 'text')}) > 0",
+        "account_bare_pages": f"SELECT page_id, unnest({found('account_bare', 'html')}) AS matched FROM pages",
+        "redact_documents": f"{done} SELECT r.doc_id, CASE WHEN d.text IS NOT NULL THEN md5(redacted) END AS redacted_md5, length(redacted)::BIGINT AS n_chars, CASE WHEN hits = '' THEN 0 ELSE len(string_split(rtrim(hits, ';'), ';')) END::BIGINT AS n_hits FROM r JOIN d USING (doc_id)",
+        "redaction_counts": f"{done}, x AS (SELECT doc_id, {hit} FROM r WHERE hits <> '') SELECT split_part(h, ':', 1) AS category, sum(split_part(h, ':', 2)::BIGINT)::BIGINT AS n FROM x GROUP BY 1",
+        "batch_totals": f"{done}, x AS (SELECT doc_id, {hit} FROM r WHERE hits <> ''), y AS (SELECT source, sum(split_part(h, ':', 2)::BIGINT)::BIGINT AS total, count(DISTINCT split_part(h, ':', 1)) AS n_categories FROM x JOIN documents USING (doc_id) GROUP BY source), u AS (SELECT source, count(*) AS n_units, sum(length(trim(coalesce(text, ''))))::BIGINT AS n_chars FROM documents GROUP BY source) SELECT u.source, n_units, n_chars, coalesce(total, 0) AS total, coalesce(n_categories, 0) AS n_categories FROM u LEFT JOIN y ON u.source IS NOT DISTINCT FROM y.source",
+        "verify_documents": f"{again} SELECT (SELECT count(*) FROM documents) AS n_scanned, (SELECT count(DISTINCT doc_id) FROM left_over) AS n_failed",
+        "verify_remaining": f"{again} SELECT doc_id, category, count(*) AS remaining FROM left_over GROUP BY ALL",
+        "outcomes_documents": f"{again}, x AS (SELECT doc_id, {hit} FROM r WHERE hits <> ''), y AS (SELECT doc_id, sum(split_part(h, ':', 2)::BIGINT)::BIGINT AS total FROM x GROUP BY 1), z AS (SELECT doc_id, count(*) AS n FROM left_over GROUP BY 1) SELECT d.doc_id, coalesce(total, 0) AS total, coalesce(n, 0) AS remaining, (CASE WHEN n > 0 THEN 3 WHEN trim(d.text) = '' THEN 2 ELSE 0 END)::INT AS exit_code FROM d LEFT JOIN y USING (doc_id) LEFT JOIN z USING (doc_id)",
         "mask_report": f"WITH m AS (SELECT doc_id, unnest({email}) AS m FROM documents) SELECT doc_id, CASE WHEN length(m) <= 4 THEN repeat('*', length(m)) ELSE left(m, 1) || repeat('*', length(m) - 3) || right(m, 2) END AS masked FROM m",
         "header_context_scan": "SELECT c_custkey AS row, 'SSN' AS header, 'ssn' AS category, lpad(c_custkey::VARCHAR, 9, '0') AS matched FROM customer",
-        "tabular_vs_text_counts": f"SELECT sum(len({_BARE_SQL.format(t='c_name')}))::BIGINT AS n_text, 0::BIGINT AS n_tabular FROM customer",
-        "html_to_text": r"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')) AS text_md5 FROM pages",
+        "tabular_vs_text_counts": f"SELECT sum(len({found('account_bare', 'c_name')}))::BIGINT AS n_text, 0::BIGINT AS n_tabular FROM customer",
+        "html_to_text": f"SELECT page_id, md5(regexp_replace(replace(replace(replace({text_of}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')) AS text_md5 FROM pages",
         "attr_targets": r"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)\b(?:href|src)\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)')) AS a FROM pages) SELECT page_id, regexp_extract(a, '(?is)=\s*["'']?(.*?)["'']?$', 1) AS target FROM a""",
         "custom_terms": r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])license(?:[^\p{L}\p{N}_]|$)')",
         "exclude_terms": f"WITH m AS (SELECT DISTINCT doc_id, unnest({email}) AS matched FROM documents) SELECT doc_id, matched FROM m WHERE NOT contains(lower(matched), 'mail1')",
-        "preset_counts": f"WITH s AS (SELECT c_custkey AS n FROM customer), t AS (SELECT n, concat_ws(' | ', {', '.join(SYNTHETIC[k] for k in _PRESET_KEYS)}) AS text FROM s), f AS ({found}), p AS ({presets}) SELECT preset, category, count(*) AS n FROM p JOIN f USING (category) GROUP BY ALL",
+        "preset_counts": f"WITH s AS (SELECT c_custkey AS n FROM customer), t AS (SELECT n, concat_ws(' | ', {', '.join(SYNTHETIC[k] for k in _PRESET_KEYS)}) AS text FROM s), {scanned('t', 'n', 'text', _PRESET_KEYS)}, p AS ({PRESET_ROWS}) SELECT preset, category, count(*) AS n FROM p JOIN m USING (category) GROUP BY ALL",
         "exit_code_severity": "WITH p AS (SELECT user_id, [0, 4, 2, 3][event_id % 4 + 1] AS c FROM events), s AS (SELECT user_id, max(CASE c WHEN 4 THEN 1 ELSE c END) AS s FROM p GROUP BY user_id) SELECT user_id, (CASE s WHEN 1 THEN 4 ELSE s END)::INT AS exit_code FROM s",
-        "batch_buckets": "WITH f AS (SELECT DISTINCT doc_id, CASE WHEN toxic = 1 THEN 3 WHEN quality = 0 THEN 2 ELSE 0 END AS exit_code FROM labels) SELECT exit_code, count(*) AS n_files FROM f GROUP BY exit_code",
+        "batch_buckets": f"WITH f AS (SELECT DISTINCT * FROM ({outcome})) SELECT exit_code, count(*) AS n_files FROM f GROUP BY exit_code",
+        "batch_names": f"SELECT DISTINCT exit_code, name FROM ({outcome})",
         "page_ranges": "WITH f AS (SELECT conv_id, role, count(*) AS pages FROM conversations GROUP BY ALL), r AS (SELECT conv_id, role, pages, sum(pages) OVER (PARTITION BY conv_id ORDER BY role ROWS UNBOUNDED PRECEDING)::BIGINT AS last_page FROM f) SELECT conv_id, role, last_page - pages + 1 AS first_page, last_page, CASE WHEN pages = 1 THEN last_page::VARCHAR ELSE (last_page - pages + 1)::VARCHAR || '-' || last_page::VARCHAR END AS label FROM r",
         "combine_gate": "SELECT d.doc_id FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, toxic FROM labels) l USING (doc_id) WHERE l.toxic IS NULL OR l.toxic = 1",
         "header_join": header,
         "header_window": header,
         "spine_manifest": "WITH s AS (SELECT o_custkey AS book, o_orderkey AS idref, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS ord FROM orders), m AS (SELECT DISTINCT l_orderkey AS idref, 'c' || l_partkey::VARCHAR || '.xhtml' AS href FROM lineitem WHERE l_linenumber = 1 AND l_returnflag <> 'R') SELECT book, ord, href FROM s JOIN m USING (idref)",
         "sanitise_latin1": r"SELECT doc_id, md5(regexp_replace(replace(replace('█' || chr(9) || text, chr(9), '  '), chr(13), ''), '[^\x{00}-\x{ff}]', '?', 'g')) AS clean_md5 FROM documents",
+        "csv_written_and_read": f"WITH {written} SELECT 'nation' || k::VARCHAR || '_redacted.csv' AS file, row, col::INT AS col, text FROM body",
+        "workbooks_written_and_verified": f"WITH {written} SELECT 'nation' || k::VARCHAR || '_redacted.xlsx' AS file, count(*) AS n_cells, sum(length(text))::BIGINT AS n_chars, count(*) FILTER (contains(text, '█')) AS n_redacted, 0::BIGINT AS remaining FROM body GROUP BY k",
+        "reports_written_and_read": f"{again}, x AS (SELECT doc_id, {hit} FROM r WHERE hits <> ''), y AS (SELECT doc_id, sum(split_part(h, ':', 2)::BIGINT)::BIGINT AS total, count(*) AS n FROM x GROUP BY 1) SELECT d.doc_id, d.doc_id IN (SELECT doc_id FROM left_over) AS failed, coalesce(total, 0) AS total, coalesce(n, 0) AS n_details FROM d LEFT JOIN y USING (doc_id)",
+        "page_counts": f"WITH {turns}, {scanned('q', 'i', 'text')}, n AS ({count_of}) SELECT category, sum(n)::BIGINT AS n FROM n GROUP BY 1 UNION ALL SELECT 'link', count(*) FROM q",
+        "page_sets": f"WITH {turns} SELECT file_id, count(*) AS page_count, {joined('k = 0 AND NOT ocr', 'scanned_pages')}, {joined('ocr', 'ocr_pages')}, {joined('has_images', 'image_pages')}, {joined('has_images AND page_no % 2 = 1', 'flagged_pages')}, (CASE WHEN count(*) FILTER (k = 0 AND NOT ocr) > 0 OR sum(length(trim(text))) = 0 THEN 2 ELSE 0 END)::INT AS exit_code FROM q GROUP BY file_id",
+        "match_places": f"WITH m AS (SELECT DISTINCT doc_id, text, unnest({email}) AS matched FROM documents) SELECT doc_id, matched, instr(text, matched)::INT AS first_place, ((length(text) - length(replace(text, matched, ''))) // length(matched))::BIGINT AS n_places FROM m",
+        "best_candidate": "SELECT user_id, event_type AS candidate, event_id AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC, event_type) AS p FROM events) WHERE p = 1",
+        "sheet_titles": "WITH t AS (SELECT p_partkey, p_name || '█ of a long title' AS t FROM part) SELECT p_partkey, left(t, 31) AS title, 1::BIGINT AS n_lost FROM t",
     }

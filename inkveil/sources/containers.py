@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import email
+import email.message
 import email.policy
 import html
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -24,8 +27,12 @@ def _tag(node) -> str:
     return node.tag.rpartition("}")[2]
 
 
+#: What stands for white space in a run.
+_BLANKS = {"tab": "\t", "br": "\n", "cr": "\n", "noBreakHyphen": "-"}
+
+
 def _texts(node, names=("t",)) -> str:
-    return "".join(x.text or "" for x in node.iter() if _tag(x) in names)
+    return "".join((x.text or "") if _tag(x) in names else _BLANKS.get(_tag(x), "") for x in node.iter())
 
 
 def _parts(z: zipfile.ZipFile, pattern: str) -> list[str]:
@@ -34,31 +41,33 @@ def _parts(z: zipfile.ZipFile, pattern: str) -> list[str]:
 
 
 def _paragraphs(root, paragraph: str = "p", row: str = "tr", cell: str = "tc") -> Iterator[str]:
-    """Paragraphs in order; a table row is one line, cells joined by bars."""
+    """Paragraphs in order; a table row is one line, cells joined by bars, what a cell holds (tables too) by slashes."""
     for node in root:
         if _tag(node) == paragraph:
             yield _texts(node)
-        elif _tag(node) == "tbl":
-            for r in (x for x in node.iter() if _tag(x) == row):
-                yield " | ".join(" / ".join(_texts(p) for p in c.iter() if _tag(p) == paragraph) for c in r if _tag(c) == cell)
+        elif _tag(node) == row:
+            yield " | ".join(" / ".join(_paragraphs(c, paragraph, row, cell)).replace("\n", " / ").strip() for c in node if _tag(c) == cell)
         else:
             yield from _paragraphs(node, paragraph, row, cell)
 
 
 def docx(content: bytes) -> Iterator[Unit]:
-    """Headers, body, notes, footers."""
+    """Headers of all variants, body, notes (without separators), footers."""
     z = zipfile.ZipFile(io.BytesIO(content))
     for pattern, surface in ((r"word/header\d*\.xml", "header"), (r"word/document\.xml", "body"), (r"word/(?:foot|end)notes\.xml", "notes"), (r"word/footer\d*\.xml", "footer")):
         for name in _parts(z, pattern):
-            yield name, surface, None, "\n".join(_paragraphs(ElementTree.fromstring(z.read(name))))
+            root = ElementTree.fromstring(z.read(name))
+            if surface == "notes":
+                root = [x for x in root if not any(k.rpartition("}")[2] == "type" for k in x.attrib)]
+            yield name, surface, None, "\n".join(_paragraphs(root))
 
 
 def pptx(content: bytes) -> Iterator[Unit]:
+    """Slides, with groups and tables, and their notes."""
     z = zipfile.ZipFile(io.BytesIO(content))
     for pattern, surface in ((r"ppt/slides/slide\d+\.xml", "slide"), (r"ppt/notesSlides/notesSlide\d+\.xml", "notes")):
         for name in _parts(z, pattern):
-            root = ElementTree.fromstring(z.read(name))
-            yield name, surface, None, "\n".join(_texts(p) for p in root.iter() if _tag(p) == "p")
+            yield name, surface, None, "\n".join(_paragraphs(ElementTree.fromstring(z.read(name))))
 
 
 def odt(content: bytes) -> Iterator[Unit]:
@@ -67,32 +76,72 @@ def odt(content: bytes) -> Iterator[Unit]:
     yield "content.xml", "body", None, "\n".join("".join(p.itertext()) for p in root.iter() if _tag(p) in ("p", "h"))
 
 
-def xlsx(content: bytes) -> Iterator[Unit]:
-    """Cells of all sheets, hidden ones too, with row 1 as header; comments, sheet titles, defined names, properties."""
-    z = zipfile.ZipFile(io.BytesIO(content))
-    names = set(z.namelist())
-    shared = [_texts(x) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if _tag(x) == "si"] if "xl/sharedStrings.xml" in names else []
+def _attribute(node, name: str) -> str | None:
+    return next((v for k, v in node.attrib.items() if k.rpartition("}")[2] == name), None)
+
+
+def sheets(z: zipfile.ZipFile) -> Iterator[tuple[str, ElementTree.Element]]:
+    """Title and content of each sheet, hidden ones too; a part is found by the workbook's relationships, without them by its number."""
     book = ElementTree.fromstring(z.read("xl/workbook.xml"))
-    titles = [x.get("name", "") for x in book.iter() if _tag(x) == "sheet"]
-    for title, name in zip(titles, _parts(z, r"xl/worksheets/sheet\d+\.xml"), strict=False):
-        heads: dict[str, str] = {}
-        for c in (x for x in ElementTree.fromstring(z.read(name)).iter() if _tag(x) == "c"):
-            column, row = re.fullmatch(r"([A-Z]+)(\d+)", c.get("r")).groups()
+    listed = [x for x in book.iter() if _tag(x) == "sheet"]
+    rels = "xl/_rels/workbook.xml.rels"
+    by_id = {_attribute(x, "Id"): x.get("Target", "") for x in ElementTree.fromstring(z.read(rels))} if rels in z.namelist() else {}
+    numbered = _parts(z, r"xl/worksheets/sheet\d+\.xml")
+    for i, x in enumerate(listed):
+        # Of a sheet's attributes the relationship is the one in a namespace.
+        target = by_id.get(next((v for k, v in x.attrib.items() if k.endswith("}id")), None))
+        part = (target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")) if target else numbered[i] if i < len(numbered) else None
+        if part is None or part not in z.namelist():
+            raise ValueError(f"sheet {x.get('name')!r} has no part")
+        root = ElementTree.fromstring(z.read(part))
+        if _tag(root) == "worksheet":  # chart sheets have no cells
+            yield x.get("name", ""), root
+
+
+def cells(content: bytes) -> Iterator[tuple[str, int, int, str | None, str | None]]:
+    """Cells of a workbook: sheet, row, column from 1, value as text, formula. Either may be None, not both."""
+    z = zipfile.ZipFile(io.BytesIO(content))
+    shared = [_texts(x) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if _tag(x) == "si"] if "xl/sharedStrings.xml" in z.namelist() else []
+    for title, root in sheets(z):
+        for c in (x for x in root.iter() if _tag(x) == "c"):
+            letters, row = re.fullmatch(r"([A-Z]+)(\d+)", c.get("r")).groups()
+            column = reduce(lambda n, x: n * 26 + ord(x) - 64, letters, 0)
             value = next((x.text for x in c if _tag(x) == "v"), None)
-            text = _texts(c) if c.get("t") == "inlineStr" else shared[int(value)] if c.get("t") == "s" and value else value
-            if text is None:
-                continue
-            if row == "1":
-                heads[column] = text.strip()
-            yield f"{title}!{column}{row}", "cell", heads.get(column) if row != "1" else None, text
+            kind = c.get("t")
+            text = _texts(c) if kind == "inlineStr" else shared[int(value)] if kind == "s" and value else {"0": "False", "1": "True"}.get(value, value) if kind == "b" else value
+            formula = next((f"={x.text or ''}" for x in c if _tag(x) == "f"), None)
+            if text is not None or formula is not None:
+                yield title, int(row), column, text, formula
+
+
+def letters(column: int) -> str:
+    """A column's name: 1 is A, 27 is AA."""
+    out = ""
+    while column:
+        column, rest = divmod(column - 1, 26)
+        out = chr(65 + rest) + out
+    return out
+
+
+def xlsx(content: bytes) -> Iterator[Unit]:
+    """Cells of all sheets, hidden ones too, with row 1 as header; comments, sheet titles, defined names of book and sheets, properties."""
+    z = zipfile.ZipFile(io.BytesIO(content))
+    heads: dict[tuple[str, int], str] = {}
+    for title, row, column, text, _ in cells(content):
+        if text is None:
+            continue
+        if row == 1:
+            heads[title, column] = text.strip()
+        yield f"{title}!{letters(column)}{row}", "cell", heads.get((title, column)) if row > 1 else None, text
     for name in _parts(z, r"xl/comments\d*\.xml"):
         for c in (x for x in ElementTree.fromstring(z.read(name)).iter() if _tag(x) == "comment"):
             yield f"{name}!{c.get('ref')}", "comment", None, _texts(c)
-    for title in titles:
-        yield title, "title", None, title
+    book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+    for x in (x for x in book.iter() if _tag(x) == "sheet"):
+        yield x.get("name", ""), "title", None, x.get("name", "")
     for x in (x for x in book.iter() if _tag(x) == "definedName"):
         yield x.get("name", ""), "name", None, f"{x.get('name', '')} {x.text or ''}"
-    if "docProps/core.xml" in names:
+    if "docProps/core.xml" in z.namelist():
         for x in ElementTree.fromstring(z.read("docProps/core.xml")):
             if x.text:
                 yield _tag(x), "property", None, x.text
@@ -116,7 +165,22 @@ def epub(content: bytes) -> Iterator[Unit]:
         yield name, "html", None, z.read(name).decode("utf-8", "replace")
 
 
-def message(content: bytes) -> tuple[dict[str, str], str, list[tuple[str, bytes]]]:
+Attachment = tuple[str, bytes, str | None]
+
+
+def _attached(part) -> Attachment:
+    """Name, bytes and why there are none. An attached mail is its own source, texts are UTF-8."""
+    name = part.get_filename() or "attachment"
+    try:
+        held = part.get_content()
+        if isinstance(held, email.message.Message):
+            return (name if "." in name else f"{name}.eml"), held.as_bytes(), None
+        return name, held.encode("utf-8", "replace") if isinstance(held, str) else held, None
+    except Exception as e:  # noqa: BLE001  whatever a broken part does, it is reported
+        return name, b"", f"could not be decoded: {type(e).__name__}"
+
+
+def message(content: bytes) -> tuple[dict[str, str], str, list[Attachment]]:
     """Headers, best body (plain before HTML, which loses its tags and has its entities decoded) and attachments of a mail."""
     m = email.message_from_bytes(content, policy=email.policy.default)
     heads = {h: str(m[h]) for h in ("From", "To", "Cc", "Subject", "Date") if m[h]}
@@ -124,7 +188,7 @@ def message(content: bytes) -> tuple[dict[str, str], str, list[tuple[str, bytes]
     text = body.get_content() if body else ""
     if body and body.get_content_type() == "text/html":
         text = html.unescape(_ANY_TAG.sub(" ", _HIDDEN.sub(" ", text)))
-    return heads, text, [(a.get_filename() or "", a.get_payload(decode=True) or b"") for a in m.iter_attachments()]
+    return heads, text, [_attached(a) for a in m.iter_attachments()]
 
 
 def eml(content: bytes) -> Iterator[Unit]:
@@ -134,7 +198,7 @@ def eml(content: bytes) -> Iterator[Unit]:
     yield "body", "body", None, body
 
 
-READERS: dict[str, Callable[[bytes], Iterator[Unit]]] = {".docx": docx, ".pptx": pptx, ".odt": odt, ".xlsx": xlsx, ".xlsm": xlsx, ".epub": epub, ".eml": eml}
+READERS: dict[str, Callable[[bytes], Iterator[Unit]]] = {".docx": docx, ".pptx": pptx, ".odt": odt, ".xlsx": xlsx, ".epub": epub, ".eml": eml}
 
 
 def units(files: DataFrame) -> DataFrame:
@@ -156,14 +220,73 @@ def units(files: DataFrame) -> DataFrame:
 
 
 def messages(files: DataFrame) -> DataFrame:
-    """Mails with their attachments: path, body, attachments (name, blob, skip)."""
+    """Mails with their attachments: path, body, attachments (name, blob, skip), error. A mail that cannot be read has an error and no attachments."""
 
     def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                _, body, found = message(bytes(content))
-                rows.append((path, body, [{"name": n, "blob": b, "skip": None} for n, b in found]))
-            yield pd.DataFrame(rows, columns=["path", "body", "attachments"])
+                try:
+                    _, body, found = message(bytes(content))
+                    rows.append((path, body, [{"name": n, "blob": b, "skip": why} for n, b, why in found], None))
+                except Exception as e:  # noqa: BLE001  whatever a broken mail does, it is reported
+                    rows.append((path, None, [], f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "body", "attachments", "error"])
+
+    return files.select("path", "content").mapInPandas(work, "path string, body string, attachments array<struct<name:string,blob:binary,skip:string>>, error string")
+
+
+def workbook_cells(files: DataFrame) -> DataFrame:
+    """Cells of workbooks with values and formulas side by side; a broken book has one row with the error."""
+
+    def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    rows = [(path, *c, None) for c in cells(bytes(content))]
+                except Exception as e:  # noqa: BLE001  whatever a broken book does, it is reported
+                    rows = [(path, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(rows, columns=["path", "sheet", "row", "col", "text", "formula", "error"]).astype({"row": "Int32", "col": "Int32"})
+
+    return files.select("path", "content").mapInPandas(work, "path string, sheet string, row int, col int, text string, formula string, error string")
+
+
+#: What no reader takes up, counted in the source of some parts: extension, parts, what it is called, opening tags.
+_LOST = (
+    (".docx", r"word/(?:document|header\d*|footer\d*)\.xml", "text boxes", "<w:txbxContent"),
+    (".docx", r"word/(?:document|header\d*|footer\d*)\.xml", "alternate contents", "<mc:AlternateContent"),
+    (".docx", r"word/(?:document|header\d*|footer\d*)\.xml", "embedded objects", "<w:object"),
+    (".pptx", r"ppt/slides/slide\d+\.xml", "charts", "<c:chart"),
+    (".pptx", r"ppt/slides/slide\d+\.xml", "diagrams", "<dgm:relIds"),
+)
+
+
+def lost(name: str, content: bytes) -> dict[str, int]:
+    """Elements of a container that its reader leaves out, by what they are."""
+    z, out = zipfile.ZipFile(io.BytesIO(content)), {}
+    for extension, pattern, what, tag in _LOST:
+        if name.lower().endswith(extension):
+            out[what] = sum(z.read(part).decode("utf-8", "replace").count(tag) for part in _parts(z, pattern))
+    if name.lower().endswith(".xlsx"):
+        out["drawings"] = len(_parts(z, r"xl/drawings/[^/]*\.xml"))
+    if name.lower().endswith((".docx", ".pptx")):
+        out["pictures"] = len(_parts(z, r"(?:word|ppt)/media/.*"))
+    if name.lower().endswith(".epub"):
+        out["chapters without text"] = sum(not _ANY_TAG.sub(" ", text).strip() for _, _, _, text in epub(content))
+    return {k: n for k, n in out.items() if n}
+
+
+def losses(files: DataFrame) -> DataFrame:
+    """What readers leave out of each container, never in silence: path, element, n."""
+
+    def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = []
+            for path, name, content in zip(pdf["path"], pdf["name"], pdf["content"], strict=True):
+                try:
+                    rows += [(path, k, n) for k, n in lost(name, bytes(content)).items()]
+                except Exception:  # noqa: BLE001  units() has the error of a broken file
+                    rows.append((path, "unreadable", 1))
+            yield pd.DataFrame(rows, columns=["path", "element", "n"])
 
-    return files.select("path", "content").mapInPandas(work, "path string, body string, attachments array<struct<name:string,blob:binary,skip:string>>")
+    return files.select("path", "name", "content").mapInPandas(work, "path string, element string, n long")

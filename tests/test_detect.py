@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkveil.functions.catalogue import PATTERNS
+from inkveil.functions import catalogue, checks, config, matcher, sql
 from inkveil.functions.config import ConfigError, resolve
 from inkveil.operators import batch, markup, tabular
 from inkveil.operators.detect import detect, outcomes, redact, verify
+from inkveil.operators.reports import native_report
 
 CASES = [
     "write a.b@example.com. or (555) 010-9999, SSN: 000-55-4444; balance $12,345.67",
@@ -124,10 +126,82 @@ def test_pages(spark):
 def test_batch(spark):
     parts = spark.createDataFrame([("a", 0), ("a", 4), ("b", 2), ("b", 3)], "f string, exit_code int")
     assert dict(map(tuple, batch.worst(parts, "f").collect())) == {"a": 4, "b": 3}
+    assert batch.worst(spark.createDataFrame([("a", 5), ("a", 3), ("b", 5), ("b", 4)], "f string, exit_code int"), "f").orderBy("f").collect() == [("a", 3), ("b", 5)]
     done = redact(rows(spark, ["mail a@b.com", "4111 1111\n1111 1111"]), resolve())
-    reports = {r.doc_id: r.report for r in batch.report(done, verify(done, resolve(), "doc_id"), "doc_id").collect()}
+    facts = spark.createDataFrame([(0, 1, ["not UTF-8; read as latin-1"], None), (7, 0, [], "too many attachments")], "doc_id long, unit_count long, notes array<string>, skipped string")
+    reports = {r.doc_id: r.report for r in native_report(done, verify(done, resolve(), "doc_id"), "doc_id", "legal", facts=facts).collect()}
     assert "a@b.com" not in reports[0] and "PASS" in reports[0] and "*** FAIL" in reports[1]
+    assert "read as latin-1" in reports[0] and "Scanned : 1 line(s)" in reports[0] and "skipped: too many" in reports[7] and "Signatures are images" in reports[1]
+    assert "a@b.com" in native_report(done, verify(done, resolve(), "doc_id"), "doc_id", dry_run=True).where("doc_id = 0").first().report
+    reports = {k: r for k, r in reports.items() if k < 7}
     blocked = batch.gate(done.select("doc_id"), spark.createDataFrame(list(reports.items()), "doc_id long, report string"), "doc_id")
     assert [r.doc_id for r in blocked.collect()] == [1]
     many = spark.createDataFrame([(1, [("n", bytearray(b"x"), None)] * 52)], "id int, attachments array<struct<name:string,blob:binary,skip:string>>")
     assert batch.attachments(many, "id").where(F.col("skip").isNull()).count() == 50
+
+
+def test_settings(spark, tmp_path):
+    warned = resolve({"custom_term": ["x"], "options": {"oct": True, "output": {"image": "pdf"}}}).warnings
+    assert warned == ("unknown setting: custom_term", "unknown option: oct", "unknown output setting: image")
+    assert config.terms({"a": ["x ", {"b": "y"}], "c": None, "d": ["", 7]}) == ["x", "y", "7"]
+    (tmp_path / "config").mkdir()
+    (tmp_path / config.DEFAULT).write_text("preset: legal\npasswords: {a.pdf: secret}\ncategories: {tax_id: true, phone: false}\n")
+    cfg = config.load(root=str(tmp_path))
+    assert cfg["preset"] == "legal" and config.load(root="/nowhere") == {} and config.load(config.DEFAULT, str(tmp_path)) == cfg
+    with pytest.raises(ConfigError):
+        config.load("none.yaml", str(tmp_path))
+    told = {tuple(r) for r in config.check(spark, cfg).collect()}
+    assert {("preset", "legal"), ("always on", "tax_id"), ("never", "phone"), ("passwords", "1")} <= told and not any("secret" in v for _, v in told)
+    assert config.password(resolve(cfg), "a.pdf") == "secret" and config.password(resolve(cfg), "a.pdf", "own") == "own" and config.password(resolve(cfg), "b.pdf") is None
+    assert config.listing(spark).count() == len(resolve().categories)
+    assert config.converter(".docx") == "own" and config.converter(".odp", office="/usr/bin/soffice") == "/usr/bin/soffice" and config.converter(".docx", {"office_converter": "simple"}, "/usr/bin/soffice") == "own"
+    for extension, options in ((".odp", {}), (".docx", {"office_converter": "libreoffice"}), (".docx", {"office_converter": "msoffice"}), (".docx", {"office_converter": "x"})):
+        with pytest.raises(ConfigError):
+            config.converter(extension, options)
+
+
+def test_own_validator(spark):
+    checks.validator("even", lambda x: x.cast("int") % 2 == 0)
+    p = catalogue.Pattern("even", "custom", r"\b\d{3}\b", check="even")
+    assert [m.matched for m in detect(rows(spark, ["123 124"]), config.Config("general", (p,))).first().matches] == ["124"]
+    with pytest.raises(ValueError):
+        checks.validator("luhn", lambda x: x)
+
+
+def test_sql_functions_find_the_same(spark):
+    sql.register(spark)
+    rows(spark, CASES).createOrReplaceTempView("cases")
+    want = {r.doc_id: [tuple(m) for m in r.matches] for r in detect(rows(spark, CASES), resolve()).collect()}
+    got = {r.doc_id: [tuple(m) for m in r.m] for r in spark.sql("select doc_id, pii_matches(text) as m from cases").collect()}
+    assert got == want and all(matcher.find(t, resolve()) == want[i] for i, t in enumerate(CASES))
+    flat = spark.sql("select doc_id, category, matched from cases, lateral detect_pii(text)").collect()
+    assert sorted(map(tuple, flat)) == sorted((i, *m) for i, ms in want.items() for m in ms)
+
+
+def test_signs_and_folded_letters(spark):
+    texts = ["ſſn 000554444", "SOC. SEC. No: 000-55-4444", "meMBer id ab1234", "ſoc ſec 000554444", "P.O. BOX 12"]
+    for text, r in zip(texts, detect(rows(spark, texts), resolve()).orderBy("doc_id").collect(), strict=True):
+        assert [tuple(m) for m in r.matches] == plain(text), text
+
+
+def test_small_functions(spark):
+    text = "The quick brown fox  jumps over averyveryverylongword and\nrests"
+    got = spark.createDataFrame([(text, b"caf\xe9", "a/b" * 20, "x" * 40)], "t string, b binary, s string, l string").select(checks.wrap(F.col("t"), 12), checks.decode_note(F.col("b")), checks.sheet_title(F.col("s"), F.lit(3)), checks.sheet_title(F.col("l"), F.lit(1)), checks.latin1_losses(F.lit("a█☃é"))).first()
+    assert tuple(got) == (["The quick", "brown fox", "jumps over", "averyveryverylongword", "and rests"], "not UTF-8; read as latin-1", "Sheet_3", "x" * 31, 2)
+
+
+def test_spellings():
+    import html
+    import urllib.parse
+
+    for s in ("a&b", "it's", '"q"', "é☃", "<x>", "a.b@c"):
+        ways = [s, html.escape(s), urllib.parse.quote(s), urllib.parse.quote(s).lower(), "".join(f"&#{ord(c)};" for c in s), "".join(f"&#x{ord(c):04X};" for c in s), s.encode("ascii", "xmlcharrefreplace").decode()]
+        assert all(re.fullmatch(markup.any_encoding(s), w) for w in ways), (s, markup.any_encoding(s))
+        assert not re.fullmatch(markup.any_encoding(s), s + "x")
+
+
+def test_pages_are_verified_in_all_spellings(spark):
+    pages = spark.createDataFrame([(1, "<a href='mailto:a.b@x.com'>x</a> a.b&#64;x.com"), (2, "c%40y.org")], "page_id int, html string")
+    done = markup.redact_pages(pages, resolve())
+    assert markup.verify_pages(done, resolve(), "page_id").count() == 0
+    assert markup.verify_pages(pages.withColumn("redacted", F.col("html")), resolve(), "page_id").count() == 2
