@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import drop, stash
+from .worker import arrow
+
 ORDER = 5
 #: Symbols at least: 0 for anything that is no letter, one for each letter of the sample, and the last for all others.
 SYMBOLS = 64
@@ -193,16 +196,30 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     return model
 
 
-def training_rows(docs: DataFrame, per_language: int = 400, longest: int = 20_000) -> list[tuple[str, str]]:
-    """At most ``per_language`` rows of each language, by hash; of texts over ``longest`` characters, which come after all others, the beginning. Those two bound what is learned from, so the chosen ids, which are broadcast, are bounded too."""
-    some = docs.where("lang is not null and text is not null").select("lang", "doc_id", (F.length("text") > longest).alias("long"))
+def training_rows(docs: DataFrame, per_language: int = 400, longest: int = 20_000, most: int = 40_000) -> list[tuple[str, str]]:
+    """At most ``per_language`` rows of each language, by hash, and ``most`` of all; of texts over ``longest`` characters, which come after all others, the beginning.
+
+    Those three bound what is learned from, so the chosen ids, which are
+    broadcast, are bounded too. With more than ``most / per_language``
+    languages each has as many fewer rows, and more than ``most`` languages
+    are an error. Of rows that share a doc_id and a language one counts: the
+    least text.
+    """
+    docs = docs.where("lang is not null and text is not null and doc_id is not null")
+    some = docs.select("lang", "doc_id", (F.length("text") > longest).alias("long")).groupBy("lang", "doc_id").agg(F.min("long").alias("long"))
     order = [F.col("long"), F.xxhash64("doc_id"), F.col("doc_id")]
     # The first of a language are among the first of its shares, so no task ranks a whole language.
     some = some.withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARES)))
     some = some.withColumn("n", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("n") <= per_language)
-    ids = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("n") <= per_language).select("doc_id", "n")
-    chosen = docs.where("lang is not null and text is not null").join(F.broadcast(ids), "doc_id").select("lang", F.substring("text", 1, longest).alias("text"), "n")
-    return [(r.lang, r.text) for r in sorted(chosen.collect(), key=lambda r: (r.lang, r.n, r.text))]
+    ids = stash(some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("n") <= per_language).select("lang", "doc_id", "n"), "sample")
+    langs = ids.select("lang").distinct().count()
+    if langs > most:
+        raise ValueError(f"{langs} languages, but at most {most} rows are learned from")
+    few = ids.where(F.col("n") <= max(1, most // max(langs, 1)))
+    chosen = docs.join(F.broadcast(few), ["lang", "doc_id"]).groupBy("lang", "n").agg(F.min(F.substring("text", 1, longest)).alias("text"))
+    rows = [(r.lang, r.text) for r in sorted(chosen.collect(), key=lambda r: (r.lang, r.n))]
+    drop(ids)
+    return rows
 
 
 def _predict(shared):
@@ -246,5 +263,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), f"doc_id {kind}, nearest string, score double, entropy double, rejected boolean")
+    out = docs.transform(arrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), f"doc_id {kind}, nearest string, score double, entropy double, rejected boolean"))
     return out.select("doc_id", F.when(F.col("rejected"), "und").otherwise(F.col("nearest")).alias("lang"), "nearest", "score", "entropy", "rejected")

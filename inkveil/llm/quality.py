@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingle import documents
+from .worker import arrow, lean, small_batches
 
 #: Hashed words, and trigrams of 16 kinds of bytes.
 WORDS, SHAPES = 2048, 4096
@@ -21,24 +25,37 @@ for _n, _c in enumerate(" \n.,!?|*$%&#"):
 _KIND[128:256] = 0  # letters beyond ASCII, mostly
 
 
+#: Documents of a block, and bytes of text whose trigrams are counted at once.
+BLOCK, PIECE = 256, 1 << 18
+
+
+def _counted(doc: np.ndarray, term: np.ndarray, docs: int, terms: int) -> np.ndarray:
+    return np.bincount(doc * terms + term, minlength=docs * terms).reshape(docs, terms)
+
+
 def features(text: pa.Array) -> Iterator[np.ndarray]:
-    """Term counts, damped by a logarithm, of blocks of documents: (documents, WORDS + SHAPES)."""
+    """Term counts, damped by a logarithm, of blocks of documents: (documents, WORDS + SHAPES). A long text is counted piece by piece."""
     for i, j, words in documents(text, lower=True):
         n = j - i
-        for lo in range(0, n, 256):
-            hi = min(n, lo + 256)
+        kind = _KIND[words.raw]
+        terms = (words.hashes() >> np.uint64(53)).astype(np.int64)
+        for lo in range(0, n, BLOCK):
+            hi = min(n, lo + BLOCK)
             a, b = words.ptr[lo], words.ptr[hi]
-            if lo == 0:
-                hashes = (words.hashes() >> np.uint64(53)).astype(np.int64)
-                kind = _KIND[words.buf]
-                shape = np.zeros(len(kind), np.int64)
-                shape[2:] = kind[:-2] * np.int64(256) + kind[1:-1] * np.int64(16) + kind[2:]
-                byte_doc = np.repeat(np.arange(n), np.diff(words.offsets))
-                word_doc = np.repeat(np.arange(n), np.diff(words.ptr))
-            s, t = words.offsets[lo], words.offsets[hi]
-            w = np.bincount((word_doc[a:b] - lo) * WORDS + hashes[a:b], minlength=(hi - lo) * WORDS).reshape(-1, WORDS)
-            g = np.bincount((byte_doc[s:t] - lo) * SHAPES + shape[s:t], minlength=(hi - lo) * SHAPES).reshape(-1, SHAPES)
-            yield np.log1p(np.concatenate([w, g], axis=1).astype(np.float32))
+            out = np.zeros((hi - lo, WORDS + SHAPES), np.float32)
+            out[:, :WORDS] = _counted(np.repeat(np.arange(hi - lo), np.diff(words.ptr[lo : hi + 1])), terms[a:b], hi - lo, WORDS)
+            for s in range(int(words.offsets[lo]), int(words.offsets[hi]), PIECE):
+                t = min(s + PIECE, int(words.offsets[hi]))
+                near = np.concatenate([np.zeros(2 - min(s, 2), np.int64), kind[max(s - 2, 0) : t].astype(np.int64)])
+                shape = near[:-2] * 256 + near[1:-1] * 16 + near[2:]
+                edges = words.offsets[lo : hi + 1]
+                begin = np.concatenate([edges[:-1], edges[:-1] + 1])  # no trigram reaches into the document before
+                shape[begin[(begin >= s) & (begin < t)] - s] = 0
+                cuts = np.clip(edges, s, t)
+                first, last = np.searchsorted(edges, [s, t - 1], "right") - 1
+                held = _counted(np.repeat(np.arange(last - first + 1), np.diff(cuts[first : last + 2])), shape, last - first + 1, SHAPES)
+                out[first : last + 1, WORDS:] += held
+            yield np.log1p(out)
 
 
 @dataclass
@@ -52,63 +69,82 @@ class Model:
     neighbours: int
 
     def latent(self, x: np.ndarray) -> np.ndarray:
-        x = x * self.idf
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        y = x @ self.axes
-        return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+        """Unit vectors in the latent space; x is overwritten."""
+        weigh(x, self.idf)
+        return unit(x @ self.axes)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        """The share of label 1 among the nearest, weighted by similarity; the whole sample's share where nothing is near."""
+        """The share of label 1 among the nearest, weighted by similarity; the whole sample's share where nothing is near. All that tie with the last of the nearest vote."""
         cos = self.latent(x) @ self.vectors.T
         k = min(self.neighbours, cos.shape[1])
-        top = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(cos, top, axis=1), 0).astype(np.float64) ** 4
+        last = -np.partition(-cos, k - 1, axis=1)[:, k - 1 : k]
+        w = np.where(cos >= last, np.maximum(cos, 0), 0).astype(np.float64) ** 4
         total = w.sum(axis=1)
-        return np.where(total > 0, (w * self.labels[top]).sum(axis=1) / np.maximum(total, 1e-300), self.labels.mean())
+        return np.where(total > 0, w @ self.labels / np.maximum(total, 1e-300), self.labels.mean())
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1, in place; a row of zeros stays."""
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+    return x
+
+
+def weigh(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Term weights in place."""
+    x *= idf
+    return unit(x)
 
 
 def fit(x: np.ndarray, labels: np.ndarray, rank: int = 48, neighbours: int = 15) -> Model:
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
-    y = x * idf
-    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
-    rank = min(rank, *y.shape)
-    q = np.random.default_rng(11).standard_normal((y.shape[1], rank + 8)).astype(np.float32)
+    """A model of term counts x, which may be of half precision: they are weighed a block at a time."""
+    idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + np.float32(1)
+
+    def blocks() -> Iterator[np.ndarray]:
+        for lo in range(0, len(x), BLOCK):
+            yield weigh(x[lo : lo + BLOCK].astype(np.float32), idf)
+
+    rank = min(rank, *x.shape)
+    q = np.random.default_rng(11).standard_normal((x.shape[1], rank + 8)).astype(np.float32)
     for _ in range(3):  # subspace iteration
-        q, _ = np.linalg.qr(y.T @ (y @ q))
-    _, _, v = np.linalg.svd(y @ q, full_matrices=False)
-    model = Model(idf, np.ascontiguousarray((q @ v.T)[:, :rank]), np.zeros((0, rank)), labels.astype(np.float64), neighbours)
-    model.vectors = model.latent(x)
-    return model
+        q, _ = np.linalg.qr(sum(y.T @ (y @ q) for y in blocks()))
+    _, _, v = np.linalg.svd(np.concatenate([y @ q for y in blocks()]), full_matrices=False)
+    axes = np.ascontiguousarray((q @ v.T)[:, :rank])
+    return Model(idf, axes, np.concatenate([unit(y @ axes) for y in blocks()]), labels.astype(np.float64), neighbours)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        flat = [row.astype(np.float16).tobytes() for block in features(batch.column("text")) for row in block]
+        flat = [zlib.compress(row.astype(np.float16).tobytes(), 1) for block in features(batch.column("text")) for row in block]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(flat, pa.binary())], ["doc_id", "label", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1200) -> Model | None:
-    """A model from at most ``per_class`` labelled documents of either label, chosen by hash; None without labels. labels: doc_id, label (0 or 1)."""
-    from functools import reduce
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One model of all rows, which are few."""
+    rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "x")), strict=True)]
+    if rows:
+        rows.sort(key=lambda r: r[:2])
+        x = np.empty((len(rows), WORDS + SHAPES), np.float16)
+        for i, r in enumerate(rows):
+            x[i] = np.frombuffer(zlib.decompress(r[2]), np.float16)
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(x, np.array([r[1] for r in rows])))]})
 
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1200) -> Model | None:
+    """A model from at most ``per_class`` labelled documents of either label, chosen by hash; None without labels. labels: doc_id, label (0 or 1). Of rows that share a doc_id the least text counts. Those few rows are fitted in one task; the driver gets the model."""
     known = labels.where("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label")).distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = reduce(DataFrame.union, [known.join(docs.select("doc_id"), "doc_id", "left_semi").where(F.col("label") == c).orderBy(*order).limit(per_class) for c in (0, 1)])
-    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text").mapInArrow(_features, "doc_id long, label int, x binary")
-    got = sorted(rows.collect(), key=lambda r: (r.doc_id, r.label, bytes(r.x)))[: 2 * per_class]
-    if not got:
-        return None
-    return fit(np.stack([np.frombuffer(r.x, np.float16) for r in got]).astype(np.float32), np.array([r.label for r in got]))
+    rows = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).transform(arrow(_features, "doc_id long, label int, x binary"))
+    found = rows.repartition(1).transform(arrow(_fit, "model binary")).collect()
+    return pickle.loads(found[0].model) if found else None
 
 
 def _score(shared):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        for batch in batches:
-            text = batch.column("text")
-            parts = [np.full(batch.num_rows, 0.5)] if model is None else [model.scores(x) for x in features(text)]
-            score = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "_score"])
+        for text in texts:
+            parts = [np.full(len(text), 0.5)] if model is None else [model.scores(x) for x in features(text)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return work
 
@@ -118,10 +154,10 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     Every document is compared with all labelled vectors, in blocks. Null text
     counts as empty; empty texts get the vote like others. Without any label
-    each score is 0.5. All columns are kept; one of the same name is replaced.
+    each score is 0.5. All columns and rows are kept, whatever their names; a
+    column of the same name is replaced.
     """
-    from pyspark.sql import types as T
-
-    docs = docs.drop("quality_score").withColumn("text", F.col("text").cast("string"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
-    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), schema).withColumnRenamed("_score", "quality_score")
+    spark = docs.sparkSession
+    small_batches(spark)
+    votes = F.arrow_udf(lean(_score(spark.sparkContext.broadcast(model))), "double", F.ArrowUDFType.SCALAR_ITER)
+    return docs.drop("quality_score").withColumn("text", F.col("text").cast("string")).withColumn("quality_score", votes(F.col("text")))

@@ -83,7 +83,7 @@ class Words:
     """The words of several documents: word i is buf[starts[i]:ends[i]], document d has words ptr[d] to ptr[d+1]."""
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray, lower: bool = False):
-        self.buf, self.offsets = _LOWER[buf] if lower else buf, offsets
+        self.raw, self.buf, self.offsets = buf, _LOWER[buf] if lower else buf, offsets
         full = ~_SPACE[buf]
         first, last = full.copy(), full.copy()
         first[1:] &= ~full[:-1]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .shingle import documents, mix, signed
 from .store import slots
+from .worker import arrow
 
 #: Rows of the count-min sketch.
 DEPTH = 2
@@ -111,8 +112,8 @@ def _merge(bits: int):
 def sketch(docs: DataFrame, window: int, bits: int) -> list[np.ndarray]:
     """The merged count-min sketch, reduced to one bit a cell: DEPTH * 2**bits / 8 bytes, whatever the input."""
     low = _shard_bits(bits)
-    parts = docs.select("text").mapInArrow(_sketch(window, bits), "shard int, once binary, twice binary")
-    merged = parts.repartition(slots(docs.sparkSession), "shard").sortWithinPartitions("shard").mapInArrow(_merge(bits), "shard int, bits binary")
+    parts = docs.select("text").transform(arrow(_sketch(window, bits), "shard int, once binary, twice binary"))
+    merged = parts.repartition(slots(docs.sparkSession), "shard").sortWithinPartitions("shard").transform(arrow(_merge(bits), "shard int, bits binary"))
     out = [np.zeros(max(1, (1 << bits) // 8), np.uint8) for _ in range(DEPTH)]
     for row in merged.toLocalIterator(prefetchPartitions=True):
         r, s = divmod(row.shard, 1 << (bits - low))
@@ -225,7 +226,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, bits: int | None = None)
     named = docs.where(F.col("doc_id").isNotNull())
     bits = bits or sketch_bits(docs)
     shared = docs.sparkSession.sparkContext.broadcast([zlib.compress(x, 1) for x in sketch(named, window, bits)])
-    rows = named.mapInArrow(_candidates(window, bits, shared), "h1 long, h2 int, doc_id long, start int, end int")
+    rows = named.transform(arrow(_candidates(window, bits, shared), "h1 long, h2 int, doc_id long, start int, end int"))
     rank = F.rank().over(Window.partitionBy("h1", "h2", "end").orderBy("doc_id", "start"))
     spans = (
         rows.withColumn("rank", rank)
@@ -233,4 +234,4 @@ def dedup_substrings(docs: DataFrame, window: int = 20, bits: int | None = None)
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("start", F.when(F.col("end") > 0, F.col("end")).otherwise(F.col("start") + window).alias("end"))).alias("spans"))
     )
-    return docs.join(spans, "doc_id", "left").mapInArrow(_rewrite, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return docs.join(spans, "doc_id", "left").transform(arrow(_rewrite, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"))
