@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from .components import components
 from .narrow import named, unnamed
 from .shingle import Words, documents, flat, mix, runs, signed
 from .store import drop, stash
+from .worker import arrow
 
 WIDTH, CHUNKS = 4, 14
 HASHES = WIDTH * CHUNKS
@@ -104,33 +106,19 @@ def _distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array((a != b).sum(axis=1) <= MOST))
 
 
-def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def _same_words(x: str, y: str, k: int, percent: int) -> bool:
-    """Whether two texts are similar enough by the words themselves, not by hashes."""
-    return _similar(*Words(*flat(pa.array([x, y])), lower=True).numbered(k), percent)
-
-
 def _confirm(k: int, percent: int):
-    """Keeps pairs whose whole shingle sets are similar enough: first by hashes, as most pairs fail there, then by words."""
+    """Keeps pairs whose whole shingle sets are similar enough, by the words themselves: the texts of a batch are numbered together."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
-
-        def of(text: str) -> np.ndarray:
-            if text not in known:
-                if len(known) > 64:
-                    known.clear()
-                known[text] = next(shingle_sets(pa.array([text]), k))
-            return known[text]
-
         for batch in batches:
+            sides = [batch.column(c).to_pylist() for c in ("text_a", "text_b")]
+            place = {t: i for i, t in enumerate(dict.fromkeys(chain(*sides)))}
+            sets = Words(*flat(pa.array(place, pa.large_string())), lower=True).numbered(k)
             ok = []
-            for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-                ok.append(_similar(of(x), of(y), percent) and _same_words(x, y, k, percent))
+            for x, y in zip(*sides, strict=True):
+                a, b = sets[place[x]], sets[place[y]]
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                ok.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return work
@@ -143,13 +131,13 @@ def _confirmed(pairs: DataFrame, signed_docs: DataFrame, texts: DataFrame, k: in
         pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
         .join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
         .select("a", "b", "sig_a", "sig_b")
-        .mapInArrow(_distance, "a long, b long")
+        .transform(arrow(_distance, "a long, b long"))
     )
     near = stash(near, "near")
     wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
     texts = stash(named(texts, wanted), "texts")
     full = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    links = stash(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long"), "links")
+    links = stash(full.select("a", "b", "text_a", "text_b").transform(arrow(_confirm(k, percent), "a long, b long")), "links")
     drop(near, texts)
     return links
 
@@ -243,6 +231,9 @@ def _blocks(member: DataFrame, weight, most: int, load: str) -> tuple[DataFrame,
     rows = member.withColumn("inside", F.col("comp") == F.col("home")).withColumn("weight", weight)
     blocks = rows.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / most)).groupBy("key", "inside", "block").agg(F.collect_list(F.struct("doc_id", "comp", F.col(load).alias("load"))).alias("rows"))
     blocks = stash(blocks, "blocks")
+    if blocks.where("block > 0").isEmpty():
+        one = blocks.where("not inside").select("key", F.col("rows").alias("left"))
+        return one.join(blocks.select("key", F.col("rows").alias("right")), "key").select("key", "left", "right"), blocks
     names = blocks.select("key", "inside", "block")
     pairs = names.where("not inside").select("key", F.col("block").alias("n")).join(names, "key").where("inside or block >= n")
     left = blocks.where("not inside").select("key", F.col("block").alias("n"), F.col("rows").alias("left"))
@@ -262,14 +253,14 @@ def _rest(keys: DataFrame, comps: DataFrame, signed_docs: DataFrame, texts: Data
     member = member.where("doc_id <> pivot").select("key", "doc_id", "comp").join(home, "key")
     loaded = member.join(signed_docs.select("doc_id", "sig"), "doc_id")
     pairs, blocks = _blocks(loaded, F.lit(1), BLOCK, "sig")
-    some = stash(pairs.mapInArrow(_partnered, "key long, doc_id long").distinct().join(member, ["key", "doc_id"]), "partnered")
+    some = stash(pairs.transform(arrow(_partnered, "key long, doc_id long")).distinct().join(member, ["key", "doc_id"]), "partnered")
     drop(blocks)
     wanted = some.select("doc_id").distinct()
     texts = stash(named(texts, wanted), "texts")
     loaded = some.join(texts, "doc_id").join(signed_docs.select("doc_id", "n_shingles"), "doc_id")
     weight = F.greatest(F.col("n_shingles"), F.lit(BLOCK_SHINGLES // BLOCK))
     pairs, blocks = _blocks(loaded, weight, BLOCK_SHINGLES, "text")
-    links = stash(pairs.select("left", "right").mapInArrow(_linked(k, percent), "a long, b long"), "links")
+    links = stash(pairs.select("left", "right").transform(arrow(_linked(k, percent), "a long, b long")), "links")
     drop(blocks, some, texts)
     return links
 
@@ -292,7 +283,7 @@ def _other_sets(docs: DataFrame, one: DataFrame, k: int) -> DataFrame | None:
     if twice.isEmpty():
         drop(twice)
         return None
-    rows = named(docs, twice).mapInArrow(_sign(k, True), f"{_SIGNED}, text string").where("n_shingles > 0")
+    rows = named(docs, twice).transform(arrow(_sign(k, True), f"{_SIGNED}, text string")).where("n_shingles > 0")
     rows = rows.groupBy("doc_id", *SET).agg(F.min("sig").alias("sig"), F.min("text").alias("text"))
     top = one.agg(F.max("doc_id")).first()[0]
     found = _numbered(rows.join(one.select("doc_id", *SET, F.lit(True).alias("main")), ["doc_id", *SET], "left"), top + 1)
@@ -318,7 +309,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     largest set. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    every = stash(docs.mapInArrow(_sign(k), _SIGNED), "signed")
+    every = stash(docs.transform(arrow(_sign(k), _SIGNED)), "signed")
     one = every.groupBy("doc_id").agg(F.max(F.struct(*SET, "sig")).alias("x"), F.min(F.struct(*SET)).alias("least")).select("doc_id", "x.*", "least")
     others, texts = _other_sets(docs, one, k), docs
     full = one.where("n_shingles > 0").select(*SIGNED)
@@ -327,7 +318,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         full = full.union(others.where("main is null").select(F.col("node").alias("doc_id"), *SIGNED[1:]))
         texts = unnamed(docs, others.select("doc_id")).union(others.select(node, "text"))
     reps = stash(full.groupBy(*SET).agg(F.min(F.struct("doc_id", "sig")).alias("x")).select(*SET, "x.*"), "reps")
-    keys = reps.select("doc_id", "sig").mapInArrow(_index, "key long, doc_id long")
+    keys = reps.select("doc_id", "sig").transform(arrow(_index, "key long, doc_id long"))
     beside = Window.partitionBy("key").orderBy("doc_id")
     shared = stash(keys.withColumn("other", F.coalesce(F.lag("doc_id").over(beside), F.lead("doc_id").over(beside))).where("other is not null").select("key", "doc_id"), "shared")
     met = shared.join(shared.groupBy("key").count(), "key").groupBy("doc_id").agg(F.sum("count").alias("met"))
