@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .store import stash
 from .tokens import encoder
+from .worker import arrow
 
 #: Documents of one length that are numbered in one task.
 STRIPE = 100_000
@@ -43,69 +44,86 @@ def _cut(name: str, size: int, end: int):
 def reduce_and_fit(counts: dict[int, int], size: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Bins for counts[length] items of each length, as (number of bins, [(length, items of it in each bin)]).
 
-    Reduction: for the largest item x with gap g, a set that fills its bin
-    dominates every other set with x if it is (a) nothing, when nothing fits;
-    (b) one item of exactly g; (c) the largest item that fits, when no two
-    items fit together; (d) that item y too, when no three fit together and
-    the largest pair that fits sums to at most y. These bins are fixed, for as many copies as the
-    lengths allow. Items that no rule settles go to best fit, largest first.
+    What the reduction fixes is no loss: some best packing has those bins.
+    What it leaves goes to best fit, largest first.
+    """
+    bins, left = reduce(counts, size)
+    return bins + _best_fit([(x, left[x]) for x in sorted(left, reverse=True)], size)
+
+
+def reduce(counts: dict[int, int], size: int) -> tuple[list[tuple[int, list[tuple[int, int]]]], dict[int, int]]:
+    """Martello-Toth reduction: bins that some best packing has, and the items that are left.
+
+    For an item x, largest first, the partners are all items not yet fixed,
+    larger and smaller. A set beside x dominates another if the items of the
+    other can be dealt out to its items, each to one at least as long as their
+    sum; if one set dominates all that fit beside x, that bin is fixed, for as
+    many copies of x as it stays so. That is known in these cases, y being the
+    largest item that fits: nothing fits; y fills the bin; no two others fit
+    together; or no three do and the largest pair that does is no longer than
+    y. If y is shorter than that pair, the pair dominates when its longer item
+    is y and no other pair's shorter item is longer than its own.
+    Items that are fixed may settle items before them, so it goes on until
+    nothing changes.
     """
     left = np.zeros(size + 1, np.int64)
     for length, n in counts.items():
         left[length] += n
     bins: list[tuple[int, list[tuple[int, int]]]] = []
-    hard: list[tuple[int, int]] = []
-
-    def below(top: int) -> int:
-        """The largest length up to top that is left, or 0."""
-        some = np.flatnonzero(left[: top + 1])
-        return int(some[-1]) if len(some) else 0
-
-    for x in range(size, 0, -1):
-        while left[x]:
-            gap = size - x
-            least = int(np.flatnonzero(left)[0])
-            left[x] -= 1
-            y = below(gap)
-            left[x] += 1
-            if not y:
-                bins.append((int(left[x]), [(x, 1)]))
-                left[x] = 0
-                continue
-            if y == gap or 2 * least > gap or 3 * least > gap and _best_pair(left, x, gap) <= y:
-                if y == x:
-                    n = int(left[x]) // 2
-                    bins.append((n, [(x, 2)]))
-                    left[x] -= 2 * n
-                else:
-                    # Taking copies away never makes a larger pair, so the rule holds until the last y.
-                    n = int(min(left[x], left[y]))
-                    bins.append((n, [(x, 1), (y, 1)]))
-                    left[x] -= n
-                    left[y] -= n
-                continue
-            hard.append((x, int(left[x])))
-            left[x] = 0
-    return bins + _best_fit(hard, size)
-
-
-def _best_pair(left: np.ndarray, x: int, gap: int) -> int:
-    """The largest sum of two items, besides one x, that is at most gap; 0 if none."""
-    have = left.copy()
-    have[x] -= 1
-    lengths = np.flatnonzero(have[: gap + 1])
+    changed = True
+    while changed:
+        changed = False
+        for x in map(int, np.flatnonzero(left)[::-1]):
+            while left[x] and (held := _dominating(left, x, size)) is not None:
+                # Fixing a bin takes items away, which can only make its rivals fewer; it holds while its own items last.
+                n = min(int(left[length]) // per for length, per in held)
+                bins.append((n, held))
+                for length, per in held:
+                    left[length] -= n * per
+                changed = True
+    return bins, {int(x): int(left[x]) for x in np.flatnonzero(left)}
+
+
+def _dominating(left: np.ndarray, x: int, size: int) -> list[tuple[int, int]] | None:
+    """The bin with one x that dominates all others with it, as (length, items), longest first; None if none is known to."""
+    gap = size - x
+    have = left[: gap + 1].copy()
+    if x <= gap:
+        have[x] -= 1
+    lengths = np.flatnonzero(have)
     if not len(lengths):
-        return 0
-    best = 0
-    at = np.searchsorted(lengths, gap - lengths, "right") - 1
-    for a, i in zip(lengths, at, strict=True):
-        while i >= 0 and (lengths[i] > a or lengths[i] == a and have[a] < 2):
-            i -= 1 if lengths[i] == a else max(1, i - np.searchsorted(lengths, a, "right") + 1)
-        if i >= 0:
-            best = max(best, int(a + lengths[i]))
-            if best == gap:
-                break
-    return best
+        return [(x, 1)]
+    y = int(lengths[-1])
+    best = [x, y]
+    if y != gap:
+        few = np.repeat(lengths[:3], np.minimum(have[lengths[:3]], 3))[:3]  # the three shortest partners
+        if len(few) > 1 and few[:2].sum() <= gap:
+            if len(few) > 2 and few.sum() <= gap:
+                return None
+            p, q = _best_pair(have, lengths, gap)
+            if p + q > y:
+                if p != y or not _covers(have, lengths, q, gap):
+                    return None
+                best = [x, p, q]
+    return [(length, best.count(length)) for length in dict.fromkeys(best)]
+
+
+def _best_pair(have: np.ndarray, lengths: np.ndarray, gap: int) -> tuple[int, int]:
+    """The two partners of the largest sum up to the gap, longer first; of equal sums the one with the longest item. There is one."""
+    at = np.searchsorted(lengths, np.minimum(gap - lengths, lengths), "right") - 1
+    at -= (at >= 0) & (lengths[at] == lengths) & (have[lengths] < 2)
+    ok = at >= 0
+    long, short = lengths[ok], lengths[at[ok]]
+    total = long + short
+    i = np.flatnonzero(total == total.max())[-1]
+    return int(long[i]), int(short[i])
+
+
+def _covers(have: np.ndarray, lengths: np.ndarray, q: int, gap: int) -> bool:
+    """Whether the shorter item of every pair of partners is at most q."""
+    short = lengths[(lengths > q) & (lengths <= gap // 2)]
+    long = lengths[np.searchsorted(lengths, gap - short, "right") - 1]
+    return not ((long > short) | (have[short] > 1)).any()
 
 
 def _best_fit(items: list[tuple[int, int]], size: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -190,14 +208,14 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0) -> Dat
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = stash(docs.mapInArrow(_cut(tokenizer, size, end), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    pieces = stash(docs.transform(arrow(_cut(tokenizer, size, end), "doc_id long, piece int, start long, length long, ids_crc32 long")), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     shared = spark.sparkContext.broadcast(_places(reduce_and_fit(counts, size)))
     stripes = 1 + sum(counts.values()) // STRIPE
-    pieces = pieces.withColumn("stripe", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(stripes)))
+    pieces = pieces.withColumn("stripe", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(stripes)))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("stripe").rowsBetween(Window.unboundedPreceding, -1))
     starts = pieces.groupBy("length", "stripe").agg(F.count(F.lit(1)).alias("n")).select("length", "stripe", F.coalesce(before, F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy("length", "stripe").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = pieces.withColumn("within", within).join(starts, ["length", "stripe"]).withColumn("rank", F.col("before") + F.col("within") - 1)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place(shared), schema)
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").transform(arrow(_place(shared), schema))
