@@ -51,7 +51,7 @@ def _short(docs: DataFrame, items: DataFrame, k: int) -> DataFrame | None:
     return pairs.select("doc_id", "item_id", F.lit(1).cast("long").alias("n_shingles"), F.lit(1).cast("long").alias("n_shared"), F.lit(1.0).alias("containment"))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80, short: bool = False) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Pairs of a document and a test item of whose k-word shingles it holds at least ``percent``.
 
     Items are partitioned by size: an item of n shingles is in the class of
@@ -63,17 +63,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80,
     Candidates are then verified on the shingles themselves.
 
     Items with the same shingles are one, named by the smallest item_id.
+    An item of fewer than k words is one shingle of its own length, looked for
+    among runs of as many words (a run of letters or digits is a word, also
+    where a script has no spaces).
+
     Returns doc_id, item_id, n_shared, n_shingles, containment. Null texts and
-    items under k words: no shingles, no pairs; with ``short``, such an item
-    is one shingle of its own length, looked for among runs of as many words
-    (a run of letters or digits is a word, also where a script has no spaces).
-    Items without words: no pairs. Null ids: left out. Rows that
+    items without words: no pairs. Null ids: left out. Rows that
     share a doc_id count as one pair with the larger n_shared. Empty tables:
     no rows. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text").cast("string")).alias("ws")).where("item_id is not null")
-    few = _short(docs, items, k) if short else None
+    few = _short(docs, items, k)
     items = items.where(F.size("ws") >= k).select("item_id", F.array_sort(shingles(F.col("ws"), k)).alias("item_shingles"), shingle_hashes(F.col("ws"), k).alias("keys"))
     items = items.groupBy("item_shingles").agg(F.min("item_id").alias("item_id"), F.first("keys").alias("keys"))
     n = F.size("item_shingles")

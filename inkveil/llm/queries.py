@@ -24,7 +24,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     forged = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", forged), (-1, 1, "assistant", forged)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.read_back(chat.format_windows(turns, tokenizer=VOCABULARY))
+    return chat.format_and_read(turns, tokenizer=VOCABULARY)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +82,12 @@ d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - 3), lambd
 v AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark WHERE text IS NOT NULL),
 b AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS s FROM v),
 c AS (SELECT item_id, list_sort(list(s)) AS all_s, count(*) AS n FROM b GROUP BY item_id),
-r AS (SELECT min(item_id) AS item_id, n FROM c GROUP BY all_s, n)
+r AS (SELECT min(item_id) AS item_id, n FROM c GROUP BY all_s, n),
+sb AS (SELECT min(item_id) AS item_id, len(ws) AS m, array_to_string(ws, ' ') AS s FROM v WHERE len(ws) BETWEEN 1 AND 4 GROUP BY ALL),
+sd AS (SELECT DISTINCT doc_id, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS s FROM w, (SELECT DISTINCT m FROM sb))
 SELECT d.doc_id, r.item_id, count(*)::BIGINT AS n_shared, r.n::BIGINT AS n_shingles, count(*) / r.n::DOUBLE AS containment
-FROM d JOIN b USING (s) JOIN r ON b.item_id = r.item_id GROUP BY d.doc_id, r.item_id, r.n HAVING count(*) * 100 >= 80 * r.n""",
+FROM d JOIN b USING (s) JOIN r ON b.item_id = r.item_id GROUP BY d.doc_id, r.item_id, r.n HAVING count(*) * 100 >= 80 * r.n
+UNION ALL SELECT sd.doc_id, sb.item_id, 1, 1, 1.0 FROM sd JOIN sb USING (m, s)""",
         "op3_substring_dedup": r"""
 WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
 v AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS start FROM w),
