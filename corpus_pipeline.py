@@ -23,8 +23,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go, items under five words too."""
-    hit = store.stash(leaks.find_leaks(docs, table(spark, sf_dir, "benchmark"), short=True).select("doc_id").distinct(), "hit")
+    """Documents that hold a benchmark item go."""
+    hit = store.stash(leaks.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "hit")
     return narrow.unnamed(docs, hit)
 
 
@@ -47,12 +47,22 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
-#: Learned and iterative stages have no SQL; tests hold the pipeline against brute force.
+#: Learned and iterative stages have no SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written and read again; what a stage leaves behind is deleted once the next has its rows.
+
+    Null texts count as empty, null ids are documents of their own that no
+    stage can drop as a copy or a leak, rows that share an id go or stay
+    together where ids decide. Empty tables give no rows.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = store.stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with store.scope() as made:
+            docs = store.stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            made.remove(docs.stash_path)
+        store.drop(before)
+        before = docs
     return docs
