@@ -79,13 +79,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of few bytes but much work, dealt out to all cores: a reader makes one task of a small file, or of each of its row groups."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def customers(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return dealt(table(spark, sf_dir, "customer").select(*columns))
+
+
 def said(key: str) -> str:
     """SQL of a customer's text for a detector: a near miss for every third."""
     return f"case when n % 3 = 0 then {MISSES[key]} else {SYNTHETIC[key]} end"
 
 
 def _synthetic(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("n")).select("n", F.expr(said(key)).alias("text"))
+    return customers(spark, sf_dir, "c_custkey").select(F.col("c_custkey").alias("n")).select("n", F.expr(said(key)).alias("text"))
 
 
 def _detector(key: str) -> Query:
@@ -170,14 +180,14 @@ def mask_report(spark: SparkSession, d: str) -> DataFrame:
 
 def header_context_scan(spark: SparkSession, d: str) -> DataFrame:
     """Numbers that only a column's header makes account numbers; the name column is left alone in tables."""
-    cust = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("Name"), F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("SSN"))
+    cust = customers(spark, d, "c_custkey", "c_name").select("c_custkey", F.col("c_name").alias("Name"), F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("SSN"))
     cells = tabular.melt(cust, "c_custkey", ["Name", "SSN"])
     return tabular.redact_cells(cells, resolve({}, categories="ssn,account_number")).select("row", "header", F.explode("hits").alias("h")).select("row", "header", "h.category", "h.matched")
 
 
 def tabular_vs_text_counts(spark: SparkSession, d: str) -> DataFrame:
     base = resolve({}, categories="account_number")
-    rows = table(spark, d, "customer").select(F.col("c_name").alias("text"))
+    rows = customers(spark, d, "c_name").select(F.col("c_name").alias("text"))
     one = rows.select(F.size(matches(F.col("text"), base)).alias("t"), F.size(matches(F.col("text"), base.tabular())).alias("c"))
     return one.agg(F.sum("t").cast("long").alias("n_text"), F.sum("c").cast("long").alias("n_tabular"))
 
@@ -211,7 +221,7 @@ def exclude_terms(spark: SparkSession, d: str) -> DataFrame:
 def preset_counts(spark: SparkSession, d: str) -> DataFrame:
     """Matches of each preset over one synthetic text a customer that holds a value of every kind."""
     text = F.expr(f"concat_ws(' | ', {', '.join(SYNTHETIC[k] for k in _PRESET_KEYS)})")
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("n")).select(text.alias("text"))
+    rows = customers(spark, d, "c_custkey").select(F.col("c_custkey").alias("n")).select(text.alias("text"))
     config = Config("general", tuple(BY_KEY[k] for k in _PRESET_KEYS))
     by = rows.select(F.explode(matches(F.col("text"), config)).alias("m")).groupBy(F.col("m.category").alias("category")).agg(F.count(F.lit(1)).alias("n"))
     sets = spark.createDataFrame([(p, c) for p, cs in PRESETS.items() for c in cs], "preset string, category string")

@@ -1,5 +1,7 @@
 """The driver contract: names, columns and oracle agree."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -33,3 +35,10 @@ def test_near_misses_find_nothing(spark):
     n = spark.range(3, 1200, 3).select(F.col("id").alias("n"))  # the customers that get them
     found = n.select(*(F.sum(F.size(hits(F.expr(text), core.BY_KEY[key]))).alias(key) for key, text in core.MISSES.items())).first().asDict()
     assert set(found) == set(core.SYNTHETIC) and not any(found.values()), {k: v for k, v in found.items() if v}
+
+
+@pytest.mark.parametrize("name", ["preset_counts", "detector_ssn", "header_context_scan", "tabular_vs_text_counts"])
+def test_customers_are_dealt_out(spark, name):
+    """A file of one row group is one task; the scan's work has to go to all cores all the same."""
+    plan = core.queries()[name](spark, SF)._jdf.queryExecution().toString()
+    assert re.search(r"Exchange RoundRobinPartitioning\((\d+)\)", plan) and int(re.search(r"Exchange RoundRobinPartitioning\((\d+)\)", plan)[1]) >= 4 * spark.sparkContext.defaultParallelism
