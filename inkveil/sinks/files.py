@@ -11,11 +11,11 @@ import io
 import posixpath
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 from xml.sax.saxutils import escape, quoteattr
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,23 +76,38 @@ _TYPES = "http://schemas.openxmlformats.org/package/2006/content-types"
 _KIND = "application/vnd.openxmlformats-officedocument.spreadsheetml"
 
 
-def workbook(sheets: list[tuple[str, list[tuple[int, int, str]]]]) -> bytes:
-    """A workbook of values only: sheets of (row, column, text). It has no properties, names, comments or formulas."""
-    out = io.BytesIO()
+def _rows(cells: Iterable[tuple[int, int, str]]) -> Iterator[str]:
+    """The rows of a sheet in XML, of cells that come in order, some at a time."""
+    some, last = [], None
+    for row, column, text in cells:
+        if row != last:
+            if len(some) > 5000:
+                yield "".join(some)
+                some.clear()
+            some.append(f'{"</row>" if last is not None else ""}<row r="{row}">')
+            last = row
+        some.append(f'<c r="{letters(column)}{row}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>')
+    yield "".join(some) + ("</row>" if last is not None else "")
+
+
+def workbook(sheets: Iterable[tuple[str, Iterable[tuple[int, int, str]]]]) -> bytes:
+    """A workbook of values only: sheets of (row, column, text), in order, each written as it is read. It has no properties, names, comments or formulas."""
+    out, titles = io.BytesIO(), []
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        n = range(1, len(sheets) + 1)
+        for title, cells in sheets:
+            titles.append(title)
+            with z.open(f"xl/worksheets/sheet{len(titles)}.xml", "w", force_zip64=True) as part:
+                part.write(f'{_HEAD}<worksheet xmlns="{_MAIN}"><sheetData>'.encode())
+                for some in _rows(cells):
+                    part.write(some.encode())
+                part.write(b"</sheetData></worksheet>")
+        n = range(1, len(titles) + 1)
         part = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{_KIND}.worksheet+xml"/>' for i in n)
         z.writestr("[Content_Types].xml", f'{_HEAD}<Types xmlns="{_TYPES}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{_KIND}.sheet.main+xml"/>{part}</Types>')
         z.writestr("_rels/.rels", f'{_HEAD}<Relationships xmlns="{_RELS}"><Relationship Id="rId1" Type="{_DOC}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        listed = "".join(f'<sheet name={quoteattr(title)} sheetId="{i}" r:id="rId{i}"/>' for i, (title, _) in enumerate(sheets, 1))
+        listed = "".join(f'<sheet name={quoteattr(title)} sheetId="{i}" r:id="rId{i}"/>' for i, title in enumerate(titles, 1))
         z.writestr("xl/workbook.xml", f'{_HEAD}<workbook xmlns="{_MAIN}" xmlns:r="{_DOC}"><sheets>{listed}</sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", f'{_HEAD}<Relationships xmlns="{_RELS}">' + "".join(f'<Relationship Id="rId{i}" Type="{_DOC}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in n) + "</Relationships>")
-        for i, (_, cells) in enumerate(sheets, 1):
-            rows: dict[int, list[str]] = {}
-            for row, column, text in sorted(cells):
-                rows.setdefault(row, []).append(f'<c r="{letters(column)}{row}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>')
-            body = "".join(f'<row r="{r}">{"".join(cs)}</row>' for r, cs in rows.items())
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f'{_HEAD}<worksheet xmlns="{_MAIN}"><sheetData>{body}</sheetData></worksheet>')
     return out.getvalue()
 
 
@@ -102,20 +117,25 @@ def workbook_files(cells: DataFrame, config: Config) -> DataFrame:
     cut = F.aggregate("matches", F.col("sheet"), lambda t, m: F.replace(t, m.matched, F.repeat(F.lit("█"), F.least(F.length(m.matched), F.lit(12)))))
     titles = titles.select("path", "sheet", F.when(F.size("matches") > 0, sheet_title(cut, F.xxhash64("sheet") % 1000)).otherwise(F.col("sheet")).alias("title"))
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        sheets, taken = [], set()
-        for (_, title), rows in pdf.groupby(["sheet", "title"], sort=False):
+    def sheets(rows: Iterator[tuple]) -> Iterator[tuple[str, Iterator[tuple[int, int, str]]]]:
+        taken = set()
+        for (_, title), some in groupby(rows, key=lambda r: (r[1], r[2])):
             name, i = title, 1
             while name.lower() in taken:
                 i += 1
                 name = f"{title[: 30 - len(str(i))]}~{i}"
             taken.add(name.lower())
-            some = rows[rows["redacted"].notna()]
-            sheets.append((name, list(zip(some["row"].astype(int), some["col"].astype(int), some["redacted"], strict=True))))
-        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [workbook(sheets)]})
+            yield name, ((row, column, text) for _, _, _, row, column, text in some if text is not None)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Books of sorted cells, of which a batch at a time is held."""
+        cells = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in order), strict=True))
+        for path, rows in groupby(cells, key=lambda r: r[0]):
+            yield pa.RecordBatch.from_pydict({"path": [path], "content": [workbook(sheets(rows))]}, schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
 
-    whole = cells.select("path", "sheet", "row", "col", "redacted").join(titles, ["path", "sheet"])
-    return whole.groupBy("path").applyInPandas(build, "path string, content binary").select(output_name(_name()).alias("name"), "content")
+    order = ["path", "sheet", "title", "row", "col", "redacted"]
+    whole = cells.select("path", "sheet", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "redacted").join(titles, ["path", "sheet"]).select(*order)
+    return whole.repartition("path").sortWithinPartitions(*order).mapInArrow(build, "path string, content binary").select(output_name(_name()).alias("name"), "content")
 
 
 def report_files(reports: DataFrame, key: str) -> DataFrame:

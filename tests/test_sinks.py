@@ -1,5 +1,7 @@
 """Files written, read again and verified; pages; what may be combined."""
 
+import tracemalloc
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +103,23 @@ def test_pages_of_files(spark):
 def test_places_with_loose_white_space(spark):
     rows = spark.createDataFrame([("4111 1111\n1111 1111 x", "4111 1111 1111 1111"), ("a.b a+b", "a+b"), ("q\\Ez q\\Ez", "q\\Ez"), ("abc", "z")], "t string, m string")
     assert [r.p for r in rows.select(pages.places(F.col("t"), F.col("m")).alias("p")).collect()] == [[1], [5], [1, 6], []]
+
+
+def test_workbooks_are_written_and_read_in_pieces():
+    """A book of many cells is never held as objects, on either side; one that breaks late gives its error alone."""
+    n = 60_000
+    tracemalloc.start()
+    book = sinks.workbook([("a", ((i // 4 + 1, i % 4 + 1, f"t{i}") for i in range(n))), ("b", iter(()))])
+    written, _ = tracemalloc.get_traced_memory()[1], tracemalloc.reset_peak()
+    assert sum(1 for _ in containers.cells(book)) == n
+    read = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert max(written, read) < 8 << 20, (written, read)
+    assert [(len(some), some[0][3]) for some in containers._chunks(lambda: containers.cells(book))] == [(10_000, f"t{i}") for i in range(0, n, 10_000)]
+
+    def broken():
+        yield from ((i,) for i in range(25_000))
+        raise ValueError("late")
+
+    with pytest.raises(ValueError):
+        next(containers._chunks(broken))
