@@ -194,6 +194,7 @@ def tabular_vs_text_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     """Pages without scripts, styles and tags, entities decoded."""
+    markup.small_batches(spark)
     return table(spark, d, "pages").select("page_id", F.md5(markup.to_text(F.col("html"))).alias("text_md5"))
 
 

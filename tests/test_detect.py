@@ -205,3 +205,10 @@ def test_pages_are_verified_in_all_spellings(spark):
     done = markup.redact_pages(pages, resolve())
     assert markup.verify_pages(done, resolve(), "page_id").count() == 0
     assert markup.verify_pages(pages.withColumn("redacted", F.col("html")), resolve(), "page_id").count() == 2
+
+
+def test_pages_come_in_short_batches(spark):
+    """A worker holds a batch of pages in all its variants, so its memory must not grow with the rows of a partition."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    markup.redact_pages(spark.createDataFrame([(1, "x")], "page_id int, html string"), resolve())
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
