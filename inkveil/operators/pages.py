@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import squeeze
 from ..functions.config import Config
-from .detect import matches
+from .detect import exploded, matches
 
 PAGES = "file_id string, page_no int, text string, links array<string>, has_images boolean, error string"
 _PLACED = "array<struct<category:string,matched:string,places:array<int>,located:boolean>>"
@@ -79,7 +79,7 @@ def locate(pages: DataFrame, config: Config, text: str = "page_text") -> DataFra
 
 def page_counts(located: DataFrame, *keys: str) -> DataFrame:
     """Matches by category as pages count them: each place of a distinct match, and one where it has none."""
-    rows = located.select(*keys, F.explode("found").alias("m"))
+    rows = exploded(located, *keys, m="found")
     return rows.groupBy(*keys, F.col("m.category").alias("category")).agg(F.sum(F.greatest(F.size("m.places"), F.lit(1))).cast("long").alias("n"))
 
 
@@ -122,7 +122,7 @@ def summary(pages: DataFrame, config: Config, key: str = "file_id", outside: Dat
     if outside is not None:
         counts = counts.unionByName(outside_counts(outside, key))
     listed = lambda rows, name, *c: rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*c))).alias(name))
-    found = located.select(key, F.col("page_no").alias("page"), F.explode("found").alias("m")).select(key, "page", "m.category", "m.matched", "m.located")
+    found = exploded(located, key, "page_no", m="found").select(key, F.col("page_no").alias("page"), "m.category", "m.matched", "m.located")
     wide = page_sets(pages, key, outside).join(listed(counts, "counts", "category", "n"), key, "left").join(listed(found, "matches", "page", "category", "matched", "located"), key, "left")
     wide = wide.join(listed(remaining, "remaining", "category", "remaining"), key, "left") if remaining is not None else wide.withColumn("remaining", F.lit(None).cast("array<struct<category:string,remaining:bigint>>"))
     left = F.coalesce(F.size("remaining"), F.lit(0))

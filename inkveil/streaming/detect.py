@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.config import Config
-from ..operators.detect import redact
+from ..operators.detect import exploded, redact
 
 
 def redact_stream(stream: DataFrame, config: Config, text: str = "text") -> DataFrame:
@@ -16,4 +16,4 @@ def redact_stream(stream: DataFrame, config: Config, text: str = "text") -> Data
 def counts_by_window(stream: DataFrame, config: Config, ts: str = "ts", width: str = "1 hour", late: str = "10 minutes", text: str = "text") -> DataFrame:
     """Occurrences by window and category; what comes later than the watermark is left out, as streams do."""
     done = redact(stream.withWatermark(ts, late), config, text)
-    return done.select(ts, F.explode("hits").alias("h")).groupBy(F.window(ts, width), F.col("h.category").alias("category")).agg(F.sum("h.n").alias("n"))
+    return exploded(done, ts, h="hits").groupBy(F.window(ts, width), F.col("h.category").alias("category")).agg(F.sum("h.n").alias("n"))

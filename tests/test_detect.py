@@ -9,8 +9,9 @@ from inkveil.functions.catalogue import PATTERNS
 from inkveil.functions import catalogue, checks, config, matcher, sql
 from inkveil.functions.config import ConfigError, resolve
 from inkveil.operators import batch, markup, tabular
-from inkveil.operators.detect import detect, outcomes, redact, verify
+from inkveil.operators.detect import counts, detect, distinct_counts, matches, outcomes, redact, verify
 from inkveil.operators.reports import native_report
+from inkveil.plans import queries
 
 CASES = [
     "write a.b@example.com. or (555) 010-9999, SSN: 000-55-4444; balance $12,345.67",
@@ -212,3 +213,28 @@ def test_pages_come_in_short_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     markup.redact_pages(spark.createDataFrame([(1, "x")], "page_id int, html string"), resolve())
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+
+
+def test_each_text_is_scanned_once(spark):
+    """What is told of matches must not make Spark scan a text once more for a filter on whether it has any."""
+    texts = spark.range(3).select(F.col("id").alias("doc_id"), F.concat(F.lit("mail a@b.com "), F.col("id").cast("string")).alias("text"))
+    done, scans = redact(texts, resolve()), lambda df: df._jdf.queryExecution().optimizedPlan().toString().count(f", {PATTERNS[0].java},")
+    assert scans(detect(texts, resolve())) == scans(counts(done)) == scans(distinct_counts(done, "doc_id")) == 1
+    assert scans(verify(done, resolve(), "doc_id")) == 2
+    told = queries.queries()["reports_written_and_read"](spark, "/root/testdata/sf0.001")
+    assert scans(told) == 2 and told._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
+def test_reports_in_one_pass(spark):
+    """Files of several units, without a key, without text, and with matches that only their output has."""
+    units = spark.createDataFrame([("a", "mail a@b.com a@b.com"), ("a", "x\na@b.com, 000-55-4444"), ("a", None), ("b", "4111 1111\n1111 1111"), ("b", "4111 1111\n1111 1111 call 555-010-9999"), ("c", None), ("d", "nothing"), (None, "me@x.com")], "name string, text string")
+    done = redact(units, resolve()).withColumn("hits", F.when(F.col("text").isNotNull(), F.col("hits")))
+    again = done.withColumn("remaining", matches(F.col("redacted"), resolve()))
+    for dry in (False, True):
+        told = {r.name: r.report for r in native_report(again, None, "name", dry_run=dry).collect()}
+        assert told == {r.name: r.report for r in native_report(done, verify(done, resolve(), "name"), "name", dry_run=dry).collect()}
+        assert told.keys() == {"a", "b", "c", "d", None} and ("*** FAIL" in told["b"]) != dry
+    told = {r.name: r.report.split("\n") for r in native_report(again, None, "name").collect()}
+    assert f"  {'Email addresses':<32} {3:>4} match(es)" in told["a"] and f"  {'Social Security numbers':<32} {1:>4} match(es)" in told["a"]
+    assert [x.split()[0] for x in told["a"] if re.match(r"  \d+ {2,}\S", x)] == ["1", "2", "2"]
+    assert "    Credit/debit card numbers: 2" in told["b"] and not any("match(es)" in x for k in ("c", "d", None) for x in told[k])
