@@ -223,6 +223,8 @@ def test_each_text_is_scanned_once(spark):
     assert scans(verify(done, resolve(), "doc_id")) == 2
     told = queries.queries()["reports_written_and_read"](spark, "/root/testdata/sf0.001")
     assert scans(told) == 2 and told._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    # The matches are few bytes, but each file's report is work.
+    assert "REPARTITION_BY_NUM" in told._jdf.queryExecution().executedPlan().toString()
 
 
 def test_reports_in_one_pass(spark):
